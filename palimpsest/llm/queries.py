@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, packing, tokens
+from palimpsest.llm import bpe, chat, jaccard, packing, rules, sharding, tokens
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -32,8 +33,31 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_TOKENIZER, end_id=2, capacity=4096)
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that is full of marks, formatted and read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(marks).alias("text"))
+    return chat.digest(chat.format_conversations(rows.unionByName(extra)))
+
+
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of 3-word shingles agree to 90 percent."""
+    return jaccard.similar_groups(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
+def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features and verdict of the rule cascade on all documents."""
+    return rules.judge(table(spark, sf_dir, "documents"), features=True)
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of nearly equal size."""
+    return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=40)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_byte_bpe, op3_packing)}
+    return {f.__name__: f for f in (op1_token_files, op2_byte_bpe, op3_packing, op5_chat, op6_jaccard, op7_rules, op8_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
