@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, chat, jaccard, packing, rules, sharding, tokens
+from palimpsest.llm import bpe, chat, jaccard, kneser_ney, packing, rules, sharding, tokens
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -33,6 +33,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_TOKENIZER, end_id=2, capacity=4096)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of all documents under a model of the trusted ones, and whether they are kept."""
+    trusted = kneser_ney.trusted_labels(table(spark, sf_dir, "labels"))
+    return kneser_ney.classify(table(spark, sf_dir, "documents"), trusted)
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one that is full of marks, formatted and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -57,7 +63,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_byte_bpe, op3_packing, op5_chat, op6_jaccard, op7_rules, op8_sharding)}
+    return {f.__name__: f for f in (op1_token_files, op2_byte_bpe, op3_packing, op4_quality, op5_chat, op6_jaccard, op7_rules, op8_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
