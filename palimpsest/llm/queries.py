@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, chat, jaccard, kneser_ney, packing, rules, sharding, tokens
+from palimpsest.llm import bpe, chat, gif, jaccard, kneser_ney, langid, packing, rules, sharding, tokens
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -62,8 +62,18 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned from those that are not held out."""
+    return langid.learn_and_identify(table(spark, sf_dir, "documents"))
+
+
+def op10_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents stored as GIF files, read back and described."""
+    return gif.media(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_byte_bpe, op3_packing, op4_quality, op5_chat, op6_jaccard, op7_rules, op8_sharding)}
+    return {f.__name__: f for f in (op1_token_files, op2_byte_bpe, op3_packing, op4_quality, op5_chat, op6_jaccard, op7_rules, op8_sharding, op9_langid, op10_gif)}
 
 
 def oracle_sql() -> dict[str, str]:
