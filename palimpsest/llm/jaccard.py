@@ -191,13 +191,16 @@ def similar_groups(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_
     def star(end: str) -> DataFrame:
         hub = F.col(end)
         near = shared.where((F.col("node") != hub["node"]) & candidates(F.col("n"), F.col("pos"), hub["n"], hub["pos"]))
-        return near.select(*pair(F.col("node"), hub["node"]))
+        return near.select("node", hub["node"].alias("hub"))
 
     active = shared.select("node").distinct()
     texts = docs.join(written(active, "jaccard-active").withColumnRenamed("node", "doc_id"), "doc_id")
     sets = written(_sets(texts, n).dropDuplicates(["node"]), "jaccard-sets")
 
-    compared = written(star("shortest").unionByName(star("longest")).distinct(), "jaccard-star")
+    # of the hubs that a member meets, the one it shares most prefix shingles with
+    met = star("shortest").unionByName(star("longest")).groupBy("node", "hub").agg(F.count("*").alias("times"))
+    best = met.groupBy("node").agg(F.max_by("hub", F.struct("times", -F.col("hub"))).alias("hub"))
+    compared = written(best.select(*pair(F.col("node"), F.col("hub"))).distinct(), "jaccard-star")
     links = written(verified(compared, index, sets, num, den), "jaccard-links")
     found = components(links)
 

@@ -31,7 +31,7 @@ CAPACITY = 4096
 #: Windows of a group, and the longest piece that a document is cut into.
 WINDOWS, PIECE = 32, 512
 #: Tokens left free in each window of a group, so that equal windows stay under the capacity.
-SLACK = 3
+SLACK = 24
 
 
 def difference(sizes: list[int], windows: int) -> np.ndarray:

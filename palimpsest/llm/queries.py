@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written as ranked variable-length files and read back."""
-    return tokens.token_files(table(spark, sf_dir, "documents"), WORD_TOKENIZER, end_id=1).drop("ids")
+    return tokens.token_files(table(spark, sf_dir, "documents"), WORD_TOKENIZER, end_id=1, with_ids=False)
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

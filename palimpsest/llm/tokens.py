@@ -13,7 +13,6 @@ comes first, repeated doc_ids are kept, in an order fixed by their content.
 
 from __future__ import annotations
 
-import io
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -32,8 +31,8 @@ class WordEncoder:
     """Ids of whole texts by a ``tokenizers`` file; strings of special tokens are ordinary text."""
 
     #: Chunks kept in each of two generations.
-    KEPT = 250_000
-    #: Longer chunks are encoded each time they occur.
+    KEPT = 350_000
+    #: Longer chunks are not kept.
     LONGEST = 64
     #: A chunk that stands alone between others; its ids mark where they end.
     MARK = "‖"
@@ -46,7 +45,7 @@ class WordEncoder:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.size = size
-        self.young: dict[str, bytes] = {"": b""}
+        self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.mark = self._ids(self.MARK)
 
@@ -57,7 +56,8 @@ class WordEncoder:
         """Ids of many chunks by one call: they are joined by the mark and cut at its ids."""
         if not chunks:
             return []
-        ids, mark = self._ids(f" {self.MARK} ".join(chunks)), self.mark
+        joined = f" {self.MARK} ".join(chunks)
+        ids, mark = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.dtype), self.mark
         at = np.ones(max(len(ids) - len(mark) + 1, 0), bool)
         for k, value in enumerate(mark):
             at &= ids[k : len(ids) - len(mark) + 1 + k] == value
@@ -69,48 +69,22 @@ class WordEncoder:
         ends = np.concatenate((cut, [len(ids)])) * width
         return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
 
-    def _learn(self, missing: list[str]) -> dict[str, bytes]:
-        """Encode chunks not kept: plain ASCII words lose their case and one final stop first."""
-        parts, cores = {}, set()
-        for chunk in missing:
-            core, tail = chunk, ""
-            if chunk.isascii():
-                core = chunk.lower()
-                if core[-1:] in (",", ".") and core[-2:-1].isalpha():
-                    core, tail = core[:-1], core[-1]
-            parts[chunk] = core, tail
-            cores.add(core)
-            if tail:
-                cores.add(tail)
-        found = {c: v for c in cores if (v := self.young.get(c) or self.old.get(c)) is not None}
-        fresh = [c for c in cores if c not in found]
-        found.update(zip(fresh, self._split(fresh)))
-        for core in cores:
-            if len(core) <= self.LONGEST:
-                self.young[core] = found[core]
-        return {chunk: found[core] + (found[tail] if tail else b"") for chunk, (core, tail) in parts.items()}
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, as bytes of ``dtype``."""
         cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        distinct = set().union(*cut) if cut else set()
+        distinct = set().union(*cut)
         young, old = self.young, self.old
-        here, missing = {}, []
-        for chunk in distinct:
-            ids = young.get(chunk)
-            if ids is None:
-                ids = old.get(chunk)
-                if ids is None:
-                    missing.append(chunk)
-                    continue
-                young[chunk] = ids
-            here[chunk] = ids
-        fresh = self._learn(missing)
-        here.update(fresh)
-        young.update((c, v) for c, v in fresh.items() if len(c) <= self.LONGEST)
-        out = [b"".join(map(here.__getitem__, chunks)) for chunks in cut]
+        missing = distinct.difference(young)
+        again = missing.intersection(old)
+        young.update((c, old[c]) for c in again)
+        fresh = list(missing - again)
+        young.update(zip(fresh, self._split(fresh)))
+        out = [b"".join(map(young.__getitem__, chunks)) for chunks in cut]
+        for chunk in fresh:
+            if len(chunk) > self.LONGEST:
+                del young[chunk]
         if len(young) > self.KEPT:
-            self.old, self.young = young, {"": b""}
+            self.old, self.young = young, {}
         return out
 
 
@@ -165,21 +139,24 @@ def unpack_ranks(control: bytes, values: bytes, n: int) -> np.ndarray:
     return out.view("<u4").reshape(-1)
 
 
+def _flat(column: pa.Array, dtype: str) -> np.ndarray:
+    """All numbers of a column of byte strings, one after the other, without a copy."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(dtype)
+
+
 def frequency_ranks(encoded: DataFrame, size: int, width: int) -> np.ndarray:
     """``by_rank``: ids by falling count, then by id.  At most ``size`` rows reach the driver."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for ids in batch.column("ids"):
-                total += np.bincount(np.frombuffer(ids.as_buffer(), f"<u{width}"), minlength=size)
+            if batch.num_rows:
+                total += np.bincount(_flat(batch.column(0), f"<u{width}"), minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], ["id", "n"])
 
-    def merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return count(slices(batches, "ids", 32_000_000))
-
-    counts = encoded.select("ids").mapInArrow(merged, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    counts = encoded.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     n = np.zeros(size, np.int64)
     n[counts["id"].to_numpy()] = counts["n"].to_numpy()
     return np.lexsort((np.arange(size), -n)).astype("<u4")
@@ -188,42 +165,34 @@ def frequency_ranks(encoded: DataFrame, size: int, width: int) -> np.ndarray:
 # ------------------------------------------------------------- the file format
 
 MAGIC = b"PVB1"
-_HEAD = struct.Struct("<IQQ")  # documents, control bytes, value bytes
-
-
-def write_block(out: io.RawIOBase, docs: list[tuple[int | None, int, bytes, bytes]]) -> None:
-    """A block: head, null flags, doc ids, token counts, value lengths, then all control bytes, then all values."""
-    known = np.array([d[0] is not None for d in docs], np.uint8)
-    ids = np.array([d[0] or 0 for d in docs], "<i8")
-    counts = np.array([d[1] for d in docs], "<u8")
-    stored = np.array([len(d[3]) for d in docs], "<u8")
-    control, values = b"".join(d[2] for d in docs), b"".join(d[3] for d in docs)
-    out.write(_HEAD.pack(len(docs), len(control), len(values)))
-    for part in (known, ids, counts, stored):
-        out.write(part.tobytes())
+_HEAD = struct.Struct("<IQQQ")  # documents, tokens, control bytes, value bytes
+
+
+def write_block(out, doc_ids: list[int | None], counts: np.ndarray, ranks: np.ndarray) -> None:
+    """A block: head, null flags, doc ids, token counts, then all control bytes, then all values."""
+    control, values = pack_ranks(ranks)
+    out.write(_HEAD.pack(len(doc_ids), len(ranks), len(control), len(values)))
+    out.write(np.array([d is not None for d in doc_ids], np.uint8).tobytes())
+    out.write(np.array([d or 0 for d in doc_ids], "<i8").tobytes())
+    out.write(counts.astype("<i8").tobytes())
     out.write(control)
     out.write(values)
 
 
-def read_blocks(source) -> Iterator[tuple[int | None, np.ndarray]]:
-    """(doc_id, ranks) of each document in a file, block by block."""
+def read_blocks(source) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
+    """(doc ids, token counts, ranks of all their tokens) of each block in a file."""
     if source.read(4) != MAGIC:
         raise ValueError("not a token file")
     while head := source.read(_HEAD.size):
-        n, n_control, n_values = _HEAD.unpack(head)
+        n, n_tokens, n_control, n_values = _HEAD.unpack(head)
         known = np.frombuffer(source.read(n), np.uint8)
-        ids, counts, stored = (np.frombuffer(source.read(8 * n), k) for k in ("<i8", "<u8", "<u8"))
-        control, values = source.read(n_control), source.read(n_values)
-        c = v = 0
-        for k in range(n):
-            count, size = int(counts[k]), int(stored[k])
-            fours = -(-count // 4)
-            yield (int(ids[k]) if known[k] else None), unpack_ranks(control[c : c + fours], values[v : v + size], count)
-            c, v = c + fours, v + size
+        ids, counts = (np.frombuffer(source.read(8 * n), "<i8") for _ in range(2))
+        doc_ids = [i if k else None for i, k in zip(ids.tolist(), known.tolist())]
+        yield doc_ids, counts, unpack_ranks(source.read(n_control), source.read(n_values), n_tokens)
 
 
-def write_token_files(encoded: DataFrame, folder: str, by_rank: np.ndarray, width: int, block_bytes: int = 4_000_000) -> DataFrame:
-    """Write the documents in ascending doc_id order; returns the files: path, part, first and last doc, counts.
+def write_token_files(encoded: DataFrame, folder: str, by_rank: np.ndarray, width: int) -> DataFrame:
+    """Write the documents in ascending doc_id order; returns the files: name, part, documents, tokens.
 
     Each task writes one file under a name of its own attempt; the returned
     table, itself committed by Spark, names the files that count.
@@ -231,43 +200,30 @@ def write_token_files(encoded: DataFrame, folder: str, by_rank: np.ndarray, widt
     rank = np.empty(len(by_rank), "<u4")
     rank[by_rank] = np.arange(len(by_rank), dtype="<u4")
 
-    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "ids"):
-            coded = [pack_ranks(rank[np.frombuffer(x.as_buffer(), f"<u{width}")]) for x in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), pa.array([c for c, _ in coded], pa.binary()), pa.array([v for _, v in coded], pa.binary())], ["doc_id", "n_tokens", "control", "stored"])
-
     def store(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         system, top = filesystem(folder)
-        path = f"{top}/part-{task.partitionId():06d}-{task.taskAttemptId()}.pvb"
-        out, docs, size, row = None, [], 0, None
-        for batch in slices(batches, "stored"):
-            for doc in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if out is None:
-                    system.create_dir(top, recursive=True)
-                    out = system.open_output_stream(path)
-                    out.write(MAGIC)
-                    row = [path.rsplit("/", 1)[1], task.partitionId(), doc[0], 0, 0]
-                docs.append(doc)
-                size += len(doc[2]) + len(doc[3])
-                row[3] += 1
-                row[4] += doc[1]
-                if size >= block_bytes:
-                    write_block(out, docs)
-                    docs, size = [], 0
+        name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.pvb"
+        out, n_docs, n_tokens = None, 0, 0
+        for batch in slices(batches, "ids"):
+            if out is None:
+                system.create_dir(top, recursive=True)
+                out = system.open_output_stream(f"{top}/{name}")
+                out.write(MAGIC)
+            counts = batch.column(1).to_numpy()
+            write_block(out, batch.column(0).to_pylist(), counts, rank[_flat(batch.column(2), f"<u{width}")])
+            n_docs, n_tokens = n_docs + len(counts), n_tokens + int(counts.sum())
         if out is not None:
-            if docs:
-                write_block(out, docs)
             out.close()
-            yield pa.RecordBatch.from_pylist([dict(zip(("name", "part", "first_doc", "n_docs", "n_tokens"), row))], pa.schema([("name", pa.string()), ("part", pa.int64()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([task.partitionId()], pa.int64()), pa.array([n_docs], pa.int64()), pa.array([n_tokens], pa.int64())], ["name", "part", "n_docs", "n_tokens"])
 
-    coded = encoded.mapInArrow(pack, "doc_id long, n_tokens long, control binary, stored binary")
-    ordered = coded.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("stored")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("stored"))
-    return written(ordered.mapInArrow(store, "name string, part long, first_doc long, n_docs long, n_tokens long"), "token-manifest")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")]
+    ordered = encoded.repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(ordered.mapInArrow(store, "name string, part long, n_docs long, n_tokens long"), "token-manifest")
 
 
-def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame, by_rank: np.ndarray) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids_crc32 and the ids (unsigned 32-bit, little-endian).
+def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame, by_rank: np.ndarray, with_ids: bool = True) -> DataFrame:
+    """Per document, from the files: doc_id, start, n_tokens, ids_crc32, and the ids (unsigned 32-bit, little-endian).
 
     One row for each file reaches the driver, to add up where each file begins.
     """
@@ -278,28 +234,28 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame, by_r
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, top = filesystem(folder)
-        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
         for batch in batches:
             for name, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 with system.open_input_stream(f"{top}/{name}") as source:
-                    rows, size = [], 0
-                    for doc_id, ranks in read_blocks(source):
-                        ids = by_rank[ranks].tobytes()
-                        rows.append((doc_id, at, len(ranks), zlib.crc32(ids), ids))
-                        at, size = at + len(ranks), size + len(ids)
-                        if size >= 8_000_000:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
-                            rows, size = [], 0
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                    for doc_ids, counts, ranks in read_blocks(source):
+                        ids = by_rank[ranks]
+                        ends = np.cumsum(counts)
+                        raw = [ids[a:b].data for a, b in zip((ends - counts).tolist(), ends.tolist())]
+                        out = [pa.array(doc_ids, pa.int64()), pa.array(at + ends - counts), pa.array(counts), pa.array([zlib.crc32(x) for x in raw], pa.int64())]
+                        names = ["doc_id", "start", "n_tokens", "ids_crc32"]
+                        if with_ids:
+                            out.append(pa.array([bytes(x) for x in raw], pa.binary()))
+                            names.append("ids")
+                        yield pa.RecordBatch.from_arrays(out, names)
+                        at += len(ids)
 
     table = spark.createDataFrame(files, "name string, start long")
     if len(files) > 1:
         table = table.repartition(len(files))
-    return table.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return table.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-def token_files(df: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_files(df: DataFrame, path: str, end_id: int = 1, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode all texts, write them as token files into the shared folder, and read the files back."""
     spark = df.sparkSession
     words = encoder(path)
@@ -308,4 +264,4 @@ def token_files(df: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id
     by_rank = frequency_ranks(encoded, max(words.size, end_id + 1), width)
     folder = workspace(spark, "token-files")
     manifest = write_token_files(encoded, folder, by_rank, width)
-    return read_token_files(spark, folder, manifest, by_rank)
+    return read_token_files(spark, folder, manifest, by_rank, with_ids)
