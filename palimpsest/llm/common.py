@@ -38,12 +38,17 @@ def workspace(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df``, stored in the shared folder and read again: this cuts the lineage."""
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows of ``df``, stored in the shared folder and read again, and where they are, for ``release``."""
     spark = df.sparkSession
     path = workspace(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df``, stored in the shared folder and read again: this cuts the lineage."""
+    return stored(df, name)[0]
 
 
 def release(spark: SparkSession, path: str) -> None:

@@ -33,12 +33,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import arrow_batches, slices, texts_of, written
+from palimpsest.llm.common import arrow_batches, release, slices, stored, texts_of, written
 
 #: Entries of the table that orders shingles; its size does not depend on the input.
 BUCKETS = 1 << 18
 #: Parts of the hash range whose counts serve the suffix filter.
 PARTS = 16
+#: Bits that pick the documents whose sets are made; their number does not depend on the input.
+MARKS = 1 << 22
 _WORDS_KEPT = 300_000
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -80,8 +82,8 @@ def shingle_counts(docs: DataFrame, n: int) -> np.ndarray:
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in slices(batches, "text"):
-            for text in batch.column("text").to_pylist():
-                np.add.at(total, (shingle_set(text, n) & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+            sets = [shingle_set(text, n) for text in batch.column("text").to_pylist()]
+            total += np.bincount((np.concatenate(sets) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["bucket", "n"])
 
@@ -123,18 +125,30 @@ def needed(a: Column, b: Column, num: int, den: int) -> Column:
     return F.ceil((a + b) * F.lit(num) / F.lit(num + den) - F.lit(1e-9)).cast("long")
 
 
-def verified(pairs: DataFrame, index: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets link.  ``index``: node, n, ranges; ``sets``: node, shingles."""
+def verified(pairs: DataFrame, index: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets link, stored.  ``index``: node, n, ranges; ``docs``: doc_id, text.
+
+    Sets are made for documents of pairs that pass the filters, by one more
+    scan of the texts: no text is shuffled.
+    """
+    spark = pairs.sparkSession
     info = lambda side: index.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("ranges").alias(f"r_{side}"))
     known = pairs.join(info("a"), "a").join(info("b"), "b")
     # suffix filter: sets that differ in the counts of hash ranges differ at least so much as sets
     apart = F.aggregate(F.zip_with("r_a", "r_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
     known = known.where(apart <= F.col("n_a") + F.col("n_b") - 2 * needed(F.col("n_a"), F.col("n_b"), num, den)).select("a", "b", "n_a", "n_b")
-    known = written(known, "jaccard-pairs")
+    known, known_path = stored(known, "jaccard-pairs")
+    ends = known.select(F.col("a").alias("node")).unionByName(known.select(F.col("b").alias("node")))
+    sets, sets_path = stored(_sets(docs, _marks(ends), n), "jaccard-sets")
     side = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"s_{s}"))
     both = known.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("s_a", "s_b")).cast("long")
-    return both.withColumn("common", common).where(F.col("common") * den >= (F.col("n_a") + F.col("n_b") - F.col("common")) * num).select("a", "b")
+    # a doc_id with several texts is known by the one its index row has
+    both = both.where((F.size("s_a") == F.col("n_a")) & (F.size("s_b") == F.col("n_b")))
+    links = written(both.withColumn("common", common).where(F.col("common") * den >= (F.col("n_a") + F.col("n_b") - F.col("common")) * num).select("a", "b"), "jaccard-links")
+    release(spark, sets_path)
+    release(spark, known_path)
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -193,15 +207,11 @@ def similar_groups(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_
         near = shared.where((F.col("node") != hub["node"]) & candidates(F.col("n"), F.col("pos"), hub["n"], hub["pos"]))
         return near.select("node", hub["node"].alias("hub"))
 
-    active = shared.select("node").distinct()
-    texts = docs.join(written(active, "jaccard-active").withColumnRenamed("node", "doc_id"), "doc_id")
-    sets = written(_sets(texts, n).dropDuplicates(["node"]), "jaccard-sets")
-
     # of the hubs that a member meets, the one it shares most prefix shingles with
     met = star("shortest").unionByName(star("longest")).groupBy("node", "hub").agg(F.count("*").alias("times"))
     best = met.groupBy("node").agg(F.max_by("hub", F.struct("times", -F.col("hub"))).alias("hub"))
     compared = written(best.select(*pair(F.col("node"), F.col("hub"))).distinct(), "jaccard-star")
-    links = written(verified(compared, index, sets, num, den), "jaccard-links")
+    links = verified(compared, index, docs, n, num, den)
     found = components(links)
 
     # second round: members of an entry that are in different components so far
@@ -215,7 +225,7 @@ def similar_groups(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_
     of = lambda s: mixed.select("token", F.col("component").alias(f"c_{s}"), F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("pos").alias(f"p_{s}"))
     crossing = across.join(of("x"), ["token", "c_x"]).join(of("y"), ["token", "c_y"]).where(candidates(F.col("n_x"), F.col("p_x"), F.col("n_y"), F.col("p_y")))
     fresh = written(crossing.select(*pair(F.col("x"), F.col("y"))).distinct().join(compared, ["a", "b"], "left_anti"), "jaccard-crossing")
-    more = verified(fresh, index, sets, num, den)
+    more = verified(fresh, index, docs, n, num, den)
     labels = components(links.unionByName(more))
 
     named = written(classes.join(labels, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id")), "jaccard-named")
@@ -224,11 +234,25 @@ def similar_groups(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_
     return linked.unionByName(alone)
 
 
-def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """(node, shingles) of documents."""
+def _marks(nodes: DataFrame) -> np.ndarray:
+    """A bit for each remainder that ids of ``nodes`` leave when divided by MARKS; MARKS / 32 numbers reach the driver."""
+    bit = F.pmod("node", F.lit(MARKS))
+    rows = nodes.groupBy(F.floor(bit / 32).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(node, {MARKS}) % 32 as int))")).alias("bits")).toPandas()
+    out = np.zeros(MARKS // 32, np.uint32)
+    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return out
+
+
+def _sets(docs: DataFrame, marks: np.ndarray, n: int) -> DataFrame:
+    """(node, shingles) of documents whose id has its mark: all wanted ones, and some that share a remainder."""
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
+            ids = batch.column("doc_id")
+            rest = ids.fill_null(0).to_numpy() % MARKS
+            wanted = (shared.value[rest >> 5] >> (rest & 31).astype(np.uint32) & 1).astype(bool) & ids.is_valid().to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array(wanted))
             sets = [shingle_set(t, n).view(np.int64) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
