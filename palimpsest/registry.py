@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.plans import links
+from palimpsest.plans import integrity, links, reporting, urls
 
-_MODULES = (links,)
+_MODULES = (links, urls, integrity, reporting)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
