@@ -130,7 +130,7 @@ SQL = {
     "year_range": f"SELECT {_YM} AS ym, count(*) AS n_pages FROM orders WHERE {_YM} BETWEEN {1993 * 12 + 3} AND {1996 * 12 + 8} GROUP BY ALL",
     "event_runs": "SELECT user_id, CAST(run AS BIGINT) AS run, event_type, count(*) AS n, min(event_id) AS first_event FROM (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) = event_type THEN 0 ELSE 1 END AS s FROM events)) GROUP BY ALL",
     "activity_window": "SELECT event_id, count(*) OVER w AS n, (us - min(us) OVER w) // 1000000 AS seconds FROM (SELECT *, epoch_us(ts) AS us FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY us RANGE BETWEEN 300000000 PRECEDING AND CURRENT ROW)",
-    "request_gaps": "SELECT event_id, g AS gap_ms, CASE WHEN g < 1200 THEN 1200 - g ELSE 0 END AS wait_ms FROM (SELECT event_id, epoch_ms(ts) - lag(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events)",
+    "request_gaps": "SELECT event_id, g AS gap_ms, CASE WHEN g < 1200 THEN 1200 - g ELSE 0 END AS wait_ms FROM (SELECT event_id, epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events)",
     "cooloff_intervals": "SELECT user_id, CAST(span AS BIGINT) AS span, count(*) AS n_errors, min(us) AS begins, max(us) + 180000000 AS ends FROM (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS span FROM (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us, event_id) <= 180000000 THEN 0 ELSE 1 END AS o FROM (SELECT *, epoch_us(ts) AS us FROM events WHERE event_type = 'error'))) GROUP BY user_id, span",
     "slow_requests": "SELECT event_id, value FROM events WHERE value >= 100",
     "event_properties": "SELECT event_id, json_extract_string(props, '$.k') AS k_text, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, strftime(ts, '%Y%m%d%H%M%S') AS stamp FROM events",
