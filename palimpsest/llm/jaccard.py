@@ -15,7 +15,9 @@ Groups of many near copies would make the square of their size in pairs.  So a
 first round compares the members of each index entry with its shortest and its
 longest member only.  Links found so far give components; the second round
 compares, entry by entry, just members of different components.  Pairs inside
-a component cannot change the result, so the components are exact.
+a component cannot change the result, so the components are exact.  Two
+components meet only if their sizes and positions in the entry leave room for a
+link at all.
 
 Defined cases: null, empty and wordless texts have no shingles and link with
 nothing; a null doc_id has no component; rows with one doc_id are one
@@ -35,8 +37,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import arrow_batches, release, slices, stored, texts_of, written
 
-#: Entries of the table that orders shingles; its size does not depend on the input.
-BUCKETS = 1 << 18
+#: Entries of the table that orders shingles, and of a chunk of it; its size does not depend on the input.
+BUCKETS, CHUNK = 1 << 24, 1 << 12
 #: Parts of the hash range whose counts serve the suffix filter.
 PARTS = 16
 #: Bits that pick the documents whose sets are made; their number does not depend on the input.
@@ -76,28 +78,55 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
     return np.unique(_mixed(h))
 
 
-def shingle_counts(docs: DataFrame, n: int) -> np.ndarray:
-    """How often shingles of each bucket occur, over all documents; BUCKETS numbers reach the driver."""
+def _packed(counts: np.ndarray) -> tuple[bytes, bytes, int]:
+    """Counts of a chunk: places (none if all are stored), numbers, and bytes in a number."""
+    used = np.flatnonzero(counts)
+    width = 1 if counts.max() < 1 << 8 else 2 if counts.max() < 1 << 16 else 8
+    if len(used) * (2 + width) < CHUNK * width:
+        return used.astype("<u2").tobytes(), counts[used].astype(f"<u{width}").tobytes(), width
+    return b"", counts.astype(f"<u{width}").tobytes(), width
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
-        for batch in slices(batches, "text"):
-            sets = [shingle_set(text, n) for text in batch.column("text").to_pylist()]
-            total += np.bincount((np.concatenate(sets) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["bucket", "n"])
-
-    rows = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(BUCKETS, np.int64)
-    out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
-    return out
+
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """Counts in one byte: exact up to 15, then in quarters of a doubling."""
+    return np.where(counts < 16, counts, np.floor(4 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
 
 
-def profiles(docs: DataFrame, counts: np.ndarray, n: int, num: int, den: int) -> DataFrame:
+def shingle_levels(docs: DataFrame, n: int) -> np.ndarray:
+    """How often shingles of each bucket occur, over all documents, as levels; BUCKETS bytes reach the driver."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.uint32)
+        for batch in slices(batches, "text"):
+            found = np.concatenate([shingle_set(text, n) for text in batch.column("text").to_pylist()])
+            buckets, times = np.unique(found & np.uint64(BUCKETS - 1), return_counts=True)
+            total[buckets] += times.astype(np.uint32)
+        grid = total.reshape(-1, CHUNK)
+        for part in np.array_split(np.flatnonzero(grid.any(axis=1)), 16):
+            rows = [(k, *_packed(grid[k])) for k in part.tolist()]
+            if rows:
+                chunk, at, times, width = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int32()), pa.array(at, pa.binary()), pa.array(times, pa.binary()), pa.array(width, pa.int32())], ["chunk", "at", "n", "width"])
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, at, times, width in zip(*(c.to_pylist() for c in batch.columns)):
+                own = total.setdefault(chunk, np.zeros(CHUNK, np.int64))
+                own[np.frombuffer(at, "<u2") if at else slice(None)] += np.frombuffer(times, f"<u{width}").astype(np.int64)
+        for chunk, own in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([_levels(own).tobytes()], pa.binary())], ["chunk", "levels"])
+
+    parts = docs.select("text").mapInArrow(count, "chunk int, at binary, n binary, width int").repartition("chunk")
+    out = np.zeros((BUCKETS // CHUNK, CHUNK), np.uint8)
+    for row in parts.mapInArrow(add, "chunk int, levels binary").collect():
+        out[row["chunk"]] = np.frombuffer(row["levels"], np.uint8)
+    return out.reshape(-1)
+
+
+def profiles(docs: DataFrame, levels: np.ndarray, n: int, num: int, den: int) -> DataFrame:
     """Per document: size and identity of its set, its prefix in rare-first order, and counts by hash range."""
-    # ranks of the counts order shingles just as the counts do, in half the bytes
-    order = np.unique(counts, return_inverse=True)[1].astype(np.int32)
-    shared = docs.sparkSession.sparkContext.broadcast(order)
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = shared.value
@@ -179,7 +208,7 @@ def similar_groups(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_
     spark = df.sparkSession
     arrow_batches(spark)
     docs = texts_of(df, id_col, text_col)
-    profile = written(profiles(docs, shingle_counts(docs, n), n, num, den), "jaccard-profiles")
+    profile = written(profiles(docs, shingle_levels(docs, n), n, num, den), "jaccard-profiles")
     usable = profile.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = written(usable.groupBy("set_id").agg(F.min("doc_id").alias("node")), "jaccard-classes")
 
@@ -219,9 +248,13 @@ def similar_groups(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_
     placed = written(placed, "jaccard-placed")
     several = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     mixed = written(placed.join(written(several, "jaccard-mixed"), "token"), "jaccard-members")
-    parts = written(mixed.select("token", "component").distinct(), "jaccard-parts")
-    left = parts.withColumnRenamed("component", "c_x")
-    across = left.join(parts.withColumnRenamed("component", "c_y"), "token").where("c_x < c_y")
+    parts = mixed.groupBy("token", "component").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("rest"))
+    parts = written(parts, "jaccard-parts")
+    part = lambda s: parts.select("token", F.col("component").alias(f"c_{s}"), F.col("low").alias(f"low_{s}"), F.col("high").alias(f"high_{s}"), F.col("rest").alias(f"rest_{s}"))
+    # no members of two components can pass the filters below if their bounds do not
+    meet = (F.col("high_x") * den >= F.col("low_y") * num) & (F.col("high_y") * den >= F.col("low_x") * num)
+    meet &= F.least("rest_x", "rest_y") >= needed(F.col("low_x"), F.col("low_y"), num, den)
+    across = part("x").join(part("y"), "token").where(F.col("c_x") < F.col("c_y")).where(meet).select("token", "c_x", "c_y")
     of = lambda s: mixed.select("token", F.col("component").alias(f"c_{s}"), F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("pos").alias(f"p_{s}"))
     crossing = across.join(of("x"), ["token", "c_x"]).join(of("y"), ["token", "c_y"]).where(candidates(F.col("n_x"), F.col("p_x"), F.col("n_y"), F.col("p_y")))
     fresh = written(crossing.select(*pair(F.col("x"), F.col("y"))).distinct().join(compared, ["a", "b"], "left_anti"), "jaccard-crossing")
