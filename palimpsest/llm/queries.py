@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, chat, gif, jaccard, kneser_ney, langid, packing, rules, sharding, tokens
+from palimpsest.llm import bpe, chat, gif, jaccard, kneser_ney, langid, packing, rules, sharding, sql, tokens
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -77,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_jaccard": sql.OP6, "op7_rules": sql.OP7}

@@ -55,7 +55,7 @@ class Document:
 
     @cached_property
     def n_upper(self) -> int:
-        """Words with two ASCII letters or more, none of them in lower case."""
+        """Words of two bytes or more with an ASCII capital and no ASCII letter in lower case."""
         return sum(w.isupper() and len(w) > 1 for w in self.words)
 
     @cached_property
