@@ -77,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_jaccard": sql.OP6, "op7_rules": sql.OP7}
+    return {"op5_chat": sql.OP5, "op6_jaccard": sql.OP6, "op7_rules": sql.OP7}

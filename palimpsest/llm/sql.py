@@ -1,5 +1,7 @@
 """DuckDB SQL of the queries whose whole result it can express."""
 
+from palimpsest.llm.chat import MARK_PATTERN
+
 #: Fixed by the contract of words: other characters than space and U+0009 to U+000D.
 _WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -54,3 +56,24 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
     OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 100 * n_upper > 30 * n_words) AS kept
 FROM judged
 """
+
+#: The lengths 15, 13, 7 and 19 are those of the marks around a turn; a turn is escaped if it would be read back different.
+OP5 = rf"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, k, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(k, role)
+), judged AS (
+  SELECT *, regexp_matches(role || chr(10) || text, '{MARK_PATTERN}|\\\\|\\l|\\b') AS hard FROM t
+), sized AS (
+  SELECT *, CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7
+      ELSE 19 + length(CASE WHEN hard THEN replace(replace(replace(role, '\', '\\'), '<', '\l'), '[', '\b') ELSE role END) END
+    + length(CASE WHEN hard THEN replace(replace(replace(text, '\', '\\'), '<', '\l'), '[', '\b') ELSE text END) AS chars
+  FROM judged
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
