@@ -137,6 +137,55 @@ def test_op4_quality_is_interpolated_modified_kneser_ney(spark):
     assert not got[len(trusted) + 1]["kept"]
 
 
+def sample_by_language(source: str) -> pd.DataFrame:
+    """Distinct clean documents of 50 words or more of sf0.1."""
+    rows = pd.read_parquet("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text", "lang"]).merge(pd.read_parquet("/root/testdata/sf0.1/labels.parquet"), on="doc_id")
+    rows = rows[(rows.quality == 1) & (rows.toxic.fillna(0) == 0) & (rows.text.str.split().str.len() >= 50)]
+    return rows[rows.lang == source].drop_duplicates("text").sort_values("doc_id")
+
+
+def test_op4_quality_few_trusted_documents(spark):
+    """The share of clean documents kept does not hang on how many trusted ones a language has."""
+    from palimpsest.llm import kneser_ney
+
+    english = sample_by_language("en")[:400]
+    rows, ids, others = [(int(i), "en", t) for i, t in zip(english.doc_id, english.text)], [int(i) for i in english.doc_id], {}
+    for base, source in ((10**7, "es"), (2 * 10**7, "fr")):
+        texts = sample_by_language(source).text.tolist()
+        for n in (3, 5, 10):
+            # the same language under another name for each number of trusted documents
+            name, first = f"{source}{n}", base + 1000 * n
+            chosen = texts[n * 7 : n * 8] + texts[150:270]
+            rows += [(first + k, name, t) for k, t in enumerate(chosen)] + [(first + 900, name, "# * $ % & | < > " * 40)]
+            ids += range(first, first + n)
+            others[name] = n
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = kneser_ney.classify(docs, spark.createDataFrame([(i,) for i in ids], "doc_id long")).toPandas()
+    place = got.doc_id % 1000
+    for name, n in others.items():
+        own = got[got.lang == name]
+        clean = own[(place[own.index] >= n) & (place[own.index] < 900)]
+        assert len(clean) == 120 and clean.kept.mean() >= 0.9, (name, clean.kept.mean())
+        assert not own[place[own.index] == 900].kept.iloc[0], name
+
+
+def test_op4_quality_threshold_is_a_held_out_quantile(spark):
+    """A trusted document is scored by a model without its fold, and the threshold has no margin."""
+    from palimpsest.llm import kneser_ney
+
+    texts = sample_by_language("en").text.str[:1500].drop_duplicates().tolist()[:150]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    folds = [r["fold"] for r in frame.withColumn("fold", kneser_ney._fold(frame["text"])).orderBy("doc_id").collect()]
+    # language k trusts the documents outside fold k
+    rows = [(k, "en", t) for k, t in enumerate(texts)] + [(1000 * (int(f) + 1) + k, f, t) for f in sorted(set(folds)) for k, t in enumerate(texts)]
+    ids = [(i,) for i, lang, _ in rows if lang == "en" or folds[i % 1000] != lang]
+    got = kneser_ney.classify(spark.createDataFrame(rows, "doc_id long, lang string, text string"), spark.createDataFrame(ids, "doc_id long")).toPandas()
+    held_out = [r.perplexity for r in got.itertuples() if r.lang != "en" and folds[r.doc_id % 1000] == r.lang]
+    assert len(held_out) == len(texts)
+    expected = np.sort(held_out)[int(np.ceil(0.99 * len(held_out))) - 1]
+    assert got.threshold[got.lang == "en"].iloc[0] == pytest.approx(expected, rel=1e-3)
+
+
 def test_op4_quality_covers_all_rows(result, docs):
     got = result("op4_quality")
     assert sorted(got.doc_id) == sorted(docs.doc_id)
