@@ -77,9 +77,9 @@ def _schedule(least: int) -> tuple[np.ndarray, np.ndarray]:
     return _schedules[least]
 
 
-def _unpack(words: np.ndarray, at: int, least: int, n: int) -> np.ndarray:
-    """Up to n codes from bit ``at``, widths as after a clear code; ``words`` has the 32 bits from each byte on."""
-    widths, starts = _schedule(least)
+def _unpack(words: np.ndarray, at: int, least: int, n: int, full: bool = False) -> np.ndarray:
+    """Up to n codes from bit ``at``, widths as after a clear code or of a full table; ``words`` has the 32 bits from each byte on."""
+    widths, starts = (np.full(n, 12), 12 * np.arange(n + 1)) if full else _schedule(least)
     n = min(n, int(np.searchsorted(starts, 8 * len(words) - at, side="right")) - 1)
     if n <= 0:
         return np.empty(0, np.int64)
@@ -95,9 +95,11 @@ def lzw_decode(data: bytes, least: int, size: int) -> bytes:
     single = [bytes([k]) for k in range(clear)] + [b"", b""]
     out: list[bytes] = []
     done, at = 0, 0
-    limit = 512
+    limit, full = 512, False
+    table: list[bytes] = []
+    before = b""
     while done < size:
-        codes = _unpack(words, at, least, min(limit, 8192))
+        codes = _unpack(words, at, least, min(limit, 8192), full)
         if not len(codes):
             break
         stop = np.flatnonzero((codes == clear) | (codes == end))
@@ -105,8 +107,8 @@ def lzw_decode(data: bytes, least: int, size: int) -> bytes:
             limit *= 4  # the segment is longer: read more of it at once
             continue
         own = codes[: stop[0]].tolist() if len(stop) else codes.tolist()
-        table = single.copy()
-        before = b""
+        if not full:
+            table, before = single.copy(), b""
         for code in own:
             if code < len(table):
                 entry = table[code]
@@ -119,10 +121,15 @@ def lzw_decode(data: bytes, least: int, size: int) -> bytes:
             if before and len(table) < 4096:
                 table.append(before + entry[:1])
             before = entry
+        if not len(stop) and len(codes) == 8192:
+            # a deferred clear code: the table is full and stays as it is
+            at += 8192 * 12 if full else int(_schedule(least)[1][8192])
+            full = True
+            continue
         if not len(stop) or codes[stop[0]] == end:
             break
-        at += int(_schedule(least)[1][stop[0] + 1])
-        limit = 512
+        at += 12 * (int(stop[0]) + 1) if full else int(_schedule(least)[1][stop[0] + 1])
+        limit, full = 512, False
     return b"".join(out)[:size]
 
 
