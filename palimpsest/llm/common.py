@@ -7,9 +7,13 @@ another one is lost.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute
@@ -21,12 +25,14 @@ BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set (tests)."""
+    """The folder all executors share; a temporary one only where none is set and one machine does all (tests)."""
     conf = spark.sparkContext.getConf()
     folder = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = set_dir.get() if set_dir.isDefined() else None
+    if not folder and not re.fullmatch(r"local(\[.*\])?", conf.get("spark.master", "local")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -38,11 +44,11 @@ def workspace(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def stored(df: DataFrame, name: str, codec: str = "snappy") -> tuple[DataFrame, str]:
     """The rows of ``df``, stored in the shared folder and read again, and where they are, for ``release``."""
     spark = df.sparkSession
     path = workspace(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -57,6 +63,33 @@ def release(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+_kept: dict[Any, Any] = {}
+
+
+def kept(key: Any, make: Callable[[], Any]) -> Any:
+    """An object that later tasks of this Python process use again.
+
+    There is one at a time: a worker that turns to another operator, or to
+    another model of the same one, drops what it kept before.
+    """
+    if key not in _kept:
+        if _kept:
+            _kept.clear()
+            gc.collect()
+        give_back()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def give_back() -> None:
+    """Return freed memory of this process to the machine; a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Keep Arrow batches small: whole documents are wide rows."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -64,7 +97,7 @@ def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` (string or binary) has about ``max_bytes`` in each; one long value stands alone."""
     for batch in batches:
         values = batch.column(batch.schema.get_field_index(column))
@@ -77,6 +110,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 4_00
             size += length
         if first < batch.num_rows:
             yield batch.slice(first)
+    give_back()
 
 
 def texts_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
