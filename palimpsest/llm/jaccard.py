@@ -8,20 +8,27 @@ hashes (a text with fewer words is one shingle).  Two documents link when
 Plan.  Documents with equal sets become one class.  Shingles are ordered rare
 first by a table of fixed size that counts them over all documents; a class is
 indexed under its prefix, the first ``|A| - ceil(num |A| / den) + 1`` shingles.
-Classes that share a prefix shingle are candidates, subject to the length, the
-positional and the suffix filter, and each pair is verified once on its sets.
+Classes that share a prefix shingle are candidates, subject to three filters:
+their lengths, the positions of the shared shingle, and the suffix filter.  For
+the last, a set's shingles are dealt by hash into parts, and a bit for each
+part says whether it holds an odd number of them.  Sets whose bits differ in d
+parts differ in d shingles at least.  The number of parts follows the size of
+the set, so the bound is close for short and long texts alike.  Each pair that
+passes is verified once on its sets.
 
 Groups of many near copies would make the square of their size in pairs.  So a
 first round compares the members of each index entry with its shortest and its
 longest member only.  Links found so far give components; the second round
-compares, entry by entry, just members of different components.  Pairs inside
-a component cannot change the result, so the components are exact.  Two
-components meet only if their sizes and positions in the entry leave room for a
-link at all.
+lists, entry by entry and by length, just pairs of members of different
+components, and takes a pair at the first shingle that its prefixes share.  Of
+these pairs each member's nearest (by parities) is verified first; what is then
+still between components is verified last.  Pairs inside a component cannot
+change the result, so the components are exact.  ``linked_pairs`` gives all
+links instead.
 
 Defined cases: null, empty and wordless texts have no shingles and link with
-nothing; a null doc_id has no component; rows with one doc_id are one
-document; extra columns are ignored.
+nothing; a null doc_id has no component; rows with one doc_id are one document,
+linked by each of its texts; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,30 +39,34 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import arrow_batches, release, slices, stored, texts_of, written
+from palimpsest.llm.common import arrow_batches, kept, release, slices, stored, texts_of
 
 #: Entries of the table that orders shingles, and of a chunk of it; its size does not depend on the input.
 BUCKETS, CHUNK = 1 << 24, 1 << 12
-#: Parts of the hash range whose counts serve the suffix filter.
-PARTS = 16
-#: Bits that pick the documents whose sets are made; their number does not depend on the input.
-MARKS = 1 << 22
-_WORDS_KEPT = 300_000
+#: Parts that a set is dealt into for the suffix filter: the power of two from its size on, within these.
+LEAST_PARTS, MOST_PARTS = 64, 1 << 14
+#: Parts that go with each posting; the whole number of parts is compared once for each pair.
+BRIEF_PARTS = 256
+#: Shingles at the head of a prefix by which a pair is known to have been listed before.
+HEAD = 8
+#: Bits of the table that picks the documents whose sets are made: so many for each document, within these bounds.
+MARKS_EACH, LEAST_MARKS, MOST_MARKS = 16, 1 << 16, 1 << 27
+_WORDS_KEPT = 200_000
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_words: dict[bytes, int] = {}
 
 
-def _hash_of(word: bytes) -> int:
-    value = _words.get(word)
-    if value is None:
-        if len(_words) > _WORDS_KEPT:
-            _words.clear()
-        value = _words[word] = xxhash.xxh64_intdigest(word)
-    return value
+class _Words(dict):
+    """Hashes of words, up to a number of them."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > _WORDS_KEPT:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -70,7 +81,7 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(_hash_of, words), np.uint64, len(words))
+    hashes = np.fromiter(map(kept("hashes", _Words).__getitem__, words), np.uint64, len(words))
     width = min(n, len(words))
     h = np.full(len(words) - width + 1, width, np.uint64)
     for k in range(width):
@@ -96,11 +107,27 @@ def shingle_levels(docs: DataFrame, n: int) -> np.ndarray:
     """How often shingles of each bucket occur, over all documents, as levels; BUCKETS bytes reach the driver."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.uint32)
-        for batch in slices(batches, "text"):
+        total = np.zeros(BUCKETS, np.uint16)
+        high = 0
+        for batch in slices(batches, "text", 1_000_000):
             found = np.concatenate([shingle_set(text, n) for text in batch.column("text").to_pylist()])
-            buckets, times = np.unique(found & np.uint64(BUCKETS - 1), return_counts=True)
-            total[buckets] += times.astype(np.uint32)
+            buckets, times = np.unique((found & np.uint64(BUCKETS - 1)).astype(np.uint32), return_counts=True)
+            top = int(times.max(initial=0))
+            if high + top >= 1 << 16:  # the counters are full: pass them on and begin again
+                yield from chunks(total)
+                total[:] = 0
+                high = 0
+            wide = times >= 1 << 16
+            if wide.any():
+                more = np.zeros(BUCKETS, np.uint32)
+                more[buckets[wide]] = times[wide]
+                yield from chunks(more)
+                buckets, times, top = buckets[~wide], times[~wide], int(times[~wide].max(initial=0))
+            total[buckets] += times.astype(np.uint16)
+            high += top
+        yield from chunks(total)
+
+    def chunks(total: np.ndarray) -> Iterator[pa.RecordBatch]:
         grid = total.reshape(-1, CHUNK)
         for part in np.array_split(np.flatnonzero(grid.any(axis=1)), 16):
             rows = [(k, *_packed(grid[k])) for k in part.tolist()]
@@ -124,14 +151,21 @@ def shingle_levels(docs: DataFrame, n: int) -> np.ndarray:
     return out.reshape(-1)
 
 
+def parities(shingles: np.ndarray, most: int = MOST_PARTS) -> np.ndarray:
+    """A bit for each part of the set: whether it holds an odd number of shingles."""
+    parts = min(most, max(LEAST_PARTS, 1 << max(0, len(shingles) - 1).bit_length()))
+    odd = np.bincount((shingles & np.uint64(parts - 1)).astype(np.int64), minlength=parts).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view("<i8")
+
+
 def profiles(docs: DataFrame, levels: np.ndarray, n: int, num: int, den: int) -> DataFrame:
-    """Per document: size and identity of its set, its prefix in rare-first order, and counts by hash range."""
+    """Per document: size and identity of its set, its prefix in rare-first order, and the parities of its parts."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = shared.value
         for batch in slices(batches, "text"):
-            sizes, names, prefixes, ranges = [], [], [], []
+            sizes, names, prefixes, odd, brief = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, n)
                 size = len(s)
@@ -140,13 +174,14 @@ def profiles(docs: DataFrame, levels: np.ndarray, n: int, num: int, den: int) ->
                 sizes.append(size)
                 names.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 prefixes.append(s[by_rank].view(np.int64))
-                ranges.append(np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=PARTS).astype(np.int32))
+                odd.append(parities(s))
+                brief.append(parities(s, BRIEF_PARTS))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(ranges, pa.list_(pa.int32()))],
-                ["doc_id", "n_shingles", "set_id", "prefix", "ranges"],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64())), pa.array(brief, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "set_id", "prefix", "odd", "brief"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, prefix array<long>, ranges array<int>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, prefix array<long>, odd array<long>, brief array<long>")
 
 
 def needed(a: Column, b: Column, num: int, den: int) -> Column:
@@ -154,29 +189,58 @@ def needed(a: Column, b: Column, num: int, den: int) -> Column:
     return F.ceil((a + b) * F.lit(num) / F.lit(num + den) - F.lit(1e-9)).cast("long")
 
 
+def _apart(a: Column, b: Column) -> Column:
+    """In how many parts two sets differ by their parities; null where one is more than twice as fine as the other."""
+
+    def half(odd: Column) -> Column:
+        words = (F.size(odd) / 2).cast("int")
+        return F.zip_with(F.slice(odd, F.lit(1), words), F.slice(odd, words + 1, words), lambda p, q: p.bitwiseXOR(q))
+
+    even = F.zip_with(F.when(F.size(a) > F.size(b), half(a)).otherwise(a), F.when(F.size(b) > F.size(a), half(b)).otherwise(b), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return F.aggregate(even, F.lit(0), lambda t, d: t + d)
+
+
+def _near(a: Column, b: Column, n_a: Column, n_b: Column, num: int, den: int) -> Column:
+    """Suffix filter: sets whose parities differ in more parts than sets that link can differ in shingles do not link."""
+    return F.coalesce(_apart(a, b) <= n_a + n_b - 2 * needed(n_a, n_b, num, den), F.lit(True))
+
+
+class _Tables:
+    """Stored intermediate tables of one run, and where they are."""
+
+    def __init__(self, spark):
+        self.spark, self.paths = spark, []
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        df, path = stored(df, f"jaccard-{name}")
+        self.paths.append(path)
+        return df
+
+    def release(self) -> None:
+        for path in self.paths:
+            release(self.spark, path)
+        self.paths = []
+
+
 def verified(pairs: DataFrame, index: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets link, stored.  ``index``: node, n, ranges; ``docs``: doc_id, text.
+    """The pairs (a, b) whose sets link, stored.  ``index``: node, n, odd; ``docs``: doc_id, text.
 
     Sets are made for documents of pairs that pass the filters, by one more
     scan of the texts: no text is shuffled.
     """
-    spark = pairs.sparkSession
-    info = lambda side: index.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("ranges").alias(f"r_{side}"))
+    own = _Tables(pairs.sparkSession)
+    info = lambda side: index.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("odd").alias(f"odd_{side}"))
     known = pairs.join(info("a"), "a").join(info("b"), "b")
-    # suffix filter: sets that differ in the counts of hash ranges differ at least so much as sets
-    apart = F.aggregate(F.zip_with("r_a", "r_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
-    known = known.where(apart <= F.col("n_a") + F.col("n_b") - 2 * needed(F.col("n_a"), F.col("n_b"), num, den)).select("a", "b", "n_a", "n_b")
-    known, known_path = stored(known, "jaccard-pairs")
-    ends = known.select(F.col("a").alias("node")).unionByName(known.select(F.col("b").alias("node")))
-    sets, sets_path = stored(_sets(docs, _marks(ends), n), "jaccard-sets")
+    known = known.where(_near(F.col("odd_a"), F.col("odd_b"), F.col("n_a"), F.col("n_b"), num, den))
+    known = own.store(known.select("a", "b").distinct(), "pairs")
+    ends = known.select(F.col("a").alias("node")).unionByName(known.select(F.col("b").alias("node"))).distinct()
+    sets = own.store(_sets(docs, _marks(ends), n), "sets")
     side = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"s_{s}"))
     both = known.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("s_a", "s_b")).cast("long")
-    # a doc_id with several texts is known by the one its index row has
-    both = both.where((F.size("s_a") == F.col("n_a")) & (F.size("s_b") == F.col("n_b")))
-    links = written(both.withColumn("common", common).where(F.col("common") * den >= (F.col("n_a") + F.col("n_b") - F.col("common")) * num).select("a", "b"), "jaccard-links")
-    release(spark, sets_path)
-    release(spark, known_path)
+    links = both.withColumn("common", common).where(F.col("common") * den >= (F.size("s_a") + F.size("s_b") - F.col("common")) * num)
+    links = stored(links.select("a", "b").distinct(), "jaccard-links")[0]
+    own.release()
     return links
 
 
@@ -186,92 +250,149 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates two steps until nothing changes: every node ties its larger
     neighbours to the least node around it, then its smaller ones.
     """
-    edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    before, now = _Tables(edges.sparkSession), _Tables(edges.sparkSession)
+    edges = before.store(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "edges-least")
+        least = before.store(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = written(large, "edges-large")
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "edges-least")
+        large = before.store(large, "large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         tied = large.join(least, "u")
         small = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        small = written(small, "edges-small")
-        changed = small.exceptAll(edges).limit(1).count() or edges.exceptAll(small).limit(1).count()
-        edges = small
+        small = now.store(small, "edges")
+        # no repeated edges on either side: as many, and all known, are the same
+        changed = small.count() != edges.count() or small.join(edges, ["u", "v"], "left_anti").limit(1).count() > 0
+        before.release()
+        before, now, edges = now, before, small
         if not changed:
             # every node now has one edge, to the least node of its component
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+def _pair(x: Column, y: Column) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+class _Index:
+    """The classes of equal sets, and the postings of prefix shingles that several classes share."""
+
+    def __init__(self, df: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str):
+        self.n, self.num, self.den, self.tables = n, num, den, _Tables(df.sparkSession)
+        arrow_batches(df.sparkSession)
+        self.docs = texts_of(df, id_col, text_col)
+        store = self.tables.store
+        #: doc_id, n_shingles, set_id, prefix, odd of every row
+        self.profile = store(profiles(self.docs, shingle_levels(self.docs, n), n, num, den), "profiles")
+        usable = self.profile.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
+        classes = usable.groupBy("set_id").agg(F.min("doc_id").alias("node"))
+        # an id with several texts may be the least of several classes
+        variant = F.row_number().over(Window.partitionBy("node").orderBy("set_id"))
+        classes = store(classes.withColumn("variant", variant), "classes")
+        #: doc_id, n_shingles and node, the least id of its class
+        self.members = store(usable.select("doc_id", "n_shingles", "set_id").join(classes, "set_id").select("doc_id", "n_shingles", "node"), "members")
+        # one document stands for each class
+        first = usable.join(classes.select(F.col("node").alias("doc_id"), "set_id", "variant"), ["doc_id", "set_id"])
+        first = store(first.select(F.col("doc_id").alias("node"), "variant", F.col("n_shingles").alias("n"), "odd", "brief", "prefix").dropDuplicates(["node", "variant"]), "index")
+        self.index = first.select("node", "variant", "n", "odd", "brief")
+        postings = first.select("node", "variant", F.posexplode("prefix").alias("pos", "token"), "n")
+        tokens = store(postings.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token"), "tokens")
+        #: token, node, variant, pos, n of prefix shingles in two classes or more
+        self.shared = store(postings.join(tokens, "token"), "postings")
+
+    def same_id(self) -> DataFrame:
+        """Links between classes that hold texts of one doc_id."""
+        several = self.members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("_last")).where("a < _last").select("doc_id", "a")
+        return self.members.join(several, "doc_id").where("a <> node").select("a", F.col("node").alias("b"))
+
+    def stars(self) -> DataFrame:
+        """Pairs of a member and the hub that it shares most prefix shingles with."""
+        member = F.struct("n", "node", "pos")
+        entries = self.tables.store(self.shared.groupBy("token").agg(F.min(member).alias("shortest"), F.max(member).alias("longest")), "entries")
+        met = self.shared.join(entries, "token")
+
+        def star(end: str) -> DataFrame:
+            hub = F.col(end)
+            fits = (F.least("n", hub["n"]) * self.den >= F.greatest("n", hub["n"]) * self.num) & (F.least(F.col("n") - F.col("pos"), hub["n"] - hub["pos"]) >= needed(F.col("n"), hub["n"], self.num, self.den))
+            return met.where((F.col("node") != hub["node"]) & fits).select("node", hub["node"].alias("hub"))
+
+        times = star("shortest").unionByName(star("longest")).groupBy("node", "hub").agg(F.count("*").alias("times"))
+        best = times.groupBy("node").agg(F.max_by("hub", F.struct("times", -F.col("hub"))).alias("hub"))
+        return best.select(*_pair(F.col("node"), F.col("hub"))).distinct()
+
+    def pairs(self, found: DataFrame | None = None) -> DataFrame:
+        """Candidate pairs (a, b, apart), stored; with components ``found`` so far (node, component), only those between two of them."""
+        num, den, store = self.num, self.den, self.tables.store
+        placed = self.shared
+        if found is None:
+            placed = placed.withColumn("component", F.col("node"))
+        else:
+            placed = placed.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        # sets that link are in the same length band or in neighbouring ones
+        band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9).cast("int")
+        longer = store(placed.withColumn("band", band), "placed")
+        # the shorter set of a pair asks in both bands; its shingle is early enough for a partner as long as itself
+        shorter = longer.where(F.col("n") - F.col("pos") >= needed(F.col("n"), F.col("n"), num, den)).withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+        roles = shorter.select("token", "band", "component", F.lit(1).alias("role")).unionByName(longer.select("token", "band", "component", F.lit(2).alias("role")))
+        live = roles.groupBy("token", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("role").alias("x"), F.max("role").alias("y"))
+        live = store(live.where("lo < hi and x = 1 and y = 2").select("token", "band"), "live")
+        shorter, longer = (store(side.join(live, ["token", "band"], "left_semi"), name) for side, name in ((shorter, "shorter"), (longer, "longer")))
+        # the first shingles of each class that are listed at all
+        listed = shorter.select("node", "variant", "pos", "token").unionByName(longer.select("node", "variant", "pos", "token"))
+        head = listed.groupBy("node", "variant").agg(F.slice(F.sort_array(F.collect_set(F.struct("pos", "token"))), 1, HEAD).alias("head"))
+        facts = store(head.join(self.index.select("node", "variant", "brief"), ["node", "variant"]), "heads")
+
+        def side(rows: DataFrame, s: str) -> DataFrame:
+            earlier = F.transform(F.filter("head", lambda t: t["pos"] < F.col("pos")), lambda t: t["token"])
+            rows = rows.join(facts, ["node", "variant"]).withColumn("earlier", earlier)
+            return rows.select("token", "band", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos", "component", "brief", "earlier")])
+
+        n_x, n_y, brief = F.col("n_x"), F.col("n_y"), (F.col("brief_x"), F.col("brief_y"))
+        meets = (F.struct("n_x", "node_x") < F.struct("n_y", "node_y")) & (F.col("component_x") != F.col("component_y")) & (n_x * den >= n_y * num)
+        # the shared shingle and what can follow it on both sides
+        meets &= F.least(n_x - F.col("pos_x"), n_y - F.col("pos_y")) >= needed(n_x, n_y, num, den)
+        meets = meets & _near(*brief, n_x, n_y, num, den) & ~F.arrays_overlap("earlier_x", "earlier_y")
+        found = side(shorter, "x").join(side(longer, "y"), ["token", "band"]).where(meets).select(*_pair(F.col("node_x"), F.col("node_y")), _apart(*brief).alias("apart"))
+        return store(found.groupBy("a", "b").agg(F.min("apart").alias("apart")), "candidates")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        return verified(pairs, self.index, self.docs, self.n, self.num, self.den)
+
+
 def similar_groups(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles and component_id, the least doc_id reachable by links."""
-    spark = df.sparkSession
-    arrow_batches(spark)
-    docs = texts_of(df, id_col, text_col)
-    profile = written(profiles(docs, shingle_levels(docs, n), n, num, den), "jaccard-profiles")
-    usable = profile.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = written(usable.groupBy("set_id").agg(F.min("doc_id").alias("node")), "jaccard-classes")
-
-    # one document stands for each class
-    index = written(
-        usable.join(classes, "set_id").where("doc_id = node").select("node", F.col("n_shingles").alias("n"), "ranges", "prefix").dropDuplicates(["node"]),
-        "jaccard-index",
-    )
-    postings = index.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    member = F.struct("n", "node", "pos")
-    entries = written(postings.groupBy("token").agg(F.count("*").alias("members"), F.min(member).alias("shortest"), F.max(member).alias("longest")).where("members > 1").drop("members"), "jaccard-entries")
-    shared = written(postings.join(entries, "token"), "jaccard-postings")
-
-    def candidates(n_x: Column, pos_x: Column, n_y: Column, pos_y: Column) -> Column:
-        """Length and positional filter."""
-        fits = (F.least(n_x, n_y) * den >= F.greatest(n_x, n_y) * num)
-        rest = F.least(n_x - pos_x, n_y - pos_y)  # the shared shingle and what can follow it on both sides
-        return fits & (rest >= needed(n_x, n_y, num, den))
-
-    def pair(x: Column, y: Column) -> list[Column]:
-        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-    def star(end: str) -> DataFrame:
-        hub = F.col(end)
-        near = shared.where((F.col("node") != hub["node"]) & candidates(F.col("n"), F.col("pos"), hub["n"], hub["pos"]))
-        return near.select("node", hub["node"].alias("hub"))
-
-    # of the hubs that a member meets, the one it shares most prefix shingles with
-    met = star("shortest").unionByName(star("longest")).groupBy("node", "hub").agg(F.count("*").alias("times"))
-    best = met.groupBy("node").agg(F.max_by("hub", F.struct("times", -F.col("hub"))).alias("hub"))
-    compared = written(best.select(*pair(F.col("node"), F.col("hub"))).distinct(), "jaccard-star")
-    links = verified(compared, index, docs, n, num, den)
+    index = _Index(df, n, num, den, id_col, text_col)
+    links = index.verified(index.stars()).unionByName(index.same_id())
+    pairs = index.pairs(components(links))
+    ends = pairs.select("a", "b", "apart", F.explode(F.array("a", "b")).alias("node"))
+    nearest = ends.groupBy("node").agg(F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("pair"))
+    nearest = index.tables.store(nearest.select("pair.a", "pair.b").distinct(), "nearest")
+    links = links.unionByName(index.verified(nearest))
     found = components(links)
-
-    # second round: members of an entry that are in different components so far
-    placed = shared.select("token", "node", "n", "pos").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = written(placed, "jaccard-placed")
-    several = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    mixed = written(placed.join(written(several, "jaccard-mixed"), "token"), "jaccard-members")
-    parts = mixed.groupBy("token", "component").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("rest"))
-    parts = written(parts, "jaccard-parts")
-    part = lambda s: parts.select("token", F.col("component").alias(f"c_{s}"), F.col("low").alias(f"low_{s}"), F.col("high").alias(f"high_{s}"), F.col("rest").alias(f"rest_{s}"))
-    # no members of two components can pass the filters below if their bounds do not
-    meet = (F.col("high_x") * den >= F.col("low_y") * num) & (F.col("high_y") * den >= F.col("low_x") * num)
-    meet &= F.least("rest_x", "rest_y") >= needed(F.col("low_x"), F.col("low_y"), num, den)
-    across = part("x").join(part("y"), "token").where(F.col("c_x") < F.col("c_y")).where(meet).select("token", "c_x", "c_y")
-    of = lambda s: mixed.select("token", F.col("component").alias(f"c_{s}"), F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("pos").alias(f"p_{s}"))
-    crossing = across.join(of("x"), ["token", "c_x"]).join(of("y"), ["token", "c_y"]).where(candidates(F.col("n_x"), F.col("p_x"), F.col("n_y"), F.col("p_y")))
-    fresh = written(crossing.select(*pair(F.col("x"), F.col("y"))).distinct().join(compared, ["a", "b"], "left_anti"), "jaccard-crossing")
-    more = verified(fresh, index, docs, n, num, den)
-    labels = components(links.unionByName(more))
-
-    named = written(classes.join(labels, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id")), "jaccard-named")
-    linked = usable.select("doc_id", "n_shingles", "set_id").join(named, "set_id").select("doc_id", "n_shingles", "component_id")
-    alone = profile.where(F.col("doc_id").isNull() | (F.col("n_shingles") == 0)).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    of = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
+    rest = pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b"))
+    links = links.unionByName(index.verified(rest.select("a", "b").join(nearest, ["a", "b"], "left_anti")))
+    labels = components(links)
+    linked = index.members.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
+    alone = index.profile.where(F.col("doc_id").isNull() | (F.col("n_shingles") == 0)).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
 
 
+def linked_pairs(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All links: (doc_id, class_id) of each document, and the linked pairs (a, b) of different classes.
+
+    A class is named by its least id; documents of one class have equal sets.
+    """
+    index = _Index(df, n, num, den, id_col, text_col)
+    return index.members.select("doc_id", F.col("node").alias("class_id")).distinct(), index.verified(index.pairs().select("a", "b"))
+
+
 def _marks(nodes: DataFrame) -> np.ndarray:
-    """A bit for each remainder that ids of ``nodes`` leave when divided by MARKS; MARKS / 32 numbers reach the driver."""
-    bit = F.pmod("node", F.lit(MARKS))
-    rows = nodes.groupBy(F.floor(bit / 32).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(node, {MARKS}) % 32 as int))")).alias("bits")).toPandas()
-    out = np.zeros(MARKS // 32, np.uint32)
+    """A bit for each remainder that ids of ``nodes`` leave when divided by the number of bits; 32 bits to a row reach the driver."""
+    marks = min(MOST_MARKS, max(LEAST_MARKS, 1 << (MARKS_EACH * nodes.count()).bit_length()))
+    bit = F.pmod("node", F.lit(marks))
+    rows = nodes.groupBy(F.floor(bit / 32).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(node, {marks}) % 32 as int))")).alias("bits")).toPandas()
+    out = np.zeros(marks // 32, np.uint32)
     out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
     return out
 
@@ -281,10 +402,11 @@ def _sets(docs: DataFrame, marks: np.ndarray, n: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(marks)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = shared.value
         for batch in slices(batches, "text"):
             ids = batch.column("doc_id")
-            rest = ids.fill_null(0).to_numpy() % MARKS
-            wanted = (shared.value[rest >> 5] >> (rest & 31).astype(np.uint32) & 1).astype(bool) & ids.is_valid().to_numpy(zero_copy_only=False)
+            rest = ids.fill_null(0).to_numpy() % (32 * len(marked))
+            wanted = (marked[rest >> 5] >> (rest & 31).astype(np.uint32) & 1).astype(bool) & ids.is_valid().to_numpy(zero_copy_only=False)
             batch = batch.filter(pa.array(wanted))
             sets = [shingle_set(t, n).view(np.int64) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
@@ -295,5 +417,5 @@ def _sets(docs: DataFrame, marks: np.ndarray, n: int) -> DataFrame:
 def one_of_each(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows whose document is the first of its group, with all their columns; null ids stay."""
     groups = similar_groups(df, n, num, den, id_col, text_col)
-    gone = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "jaccard-gone")
+    gone, _ = stored(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "jaccard-gone")
     return df.join(gone, df[id_col] == gone["_gone"], "left_anti")

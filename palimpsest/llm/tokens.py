@@ -24,14 +24,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import arrow_batches, filesystem, slices, texts_of, workspace, written
+from palimpsest.llm.common import arrow_batches, filesystem, kept, release, slices, stored, texts_of, workspace, written
 
 
 class WordEncoder:
-    """Ids of whole texts by a ``tokenizers`` file; strings of special tokens are ordinary text."""
+    """Ids of whole texts by a ``tokenizers`` file, without the tokens that frame a text.
+
+    The strings of special tokens have no white space, so they are found in a
+    chunk where they are found in the text, and get their own ids.
+    """
 
     #: Chunks kept in each of two generations.
-    KEPT = 350_000
+    KEPT = 150_000
     #: Longer chunks are not kept.
     LONGEST = 64
     #: A chunk that stands alone between others; its ids mark where they end.
@@ -41,7 +45,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.size = size
@@ -88,14 +91,9 @@ class WordEncoder:
         return out
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """One encoder in each Python process; its kept chunks serve later tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return kept(("words", path), lambda: WordEncoder(path))
 
 
 def encode_texts(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,8 +258,9 @@ def token_files(df: DataFrame, path: str, end_id: int = 1, with_ids: bool = True
     spark = df.sparkSession
     words = encoder(path)
     width = words.dtype.itemsize
-    encoded = written(encode_texts(df, path, end_id, id_col, text_col), "token-ids")
+    encoded, encoded_path = stored(encode_texts(df, path, end_id, id_col, text_col), "token-ids", "zstd")
     by_rank = frequency_ranks(encoded, max(words.size, end_id + 1), width)
     folder = workspace(spark, "token-files")
     manifest = write_token_files(encoded, folder, by_rank, width)
+    release(spark, encoded_path)
     return read_token_files(spark, folder, manifest, by_rank, with_ids)

@@ -37,7 +37,6 @@ def word_ids(docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     texts = docs.text.fillna("").tolist()
     return dict(zip(docs.doc_id.tolist(), [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]))
 
@@ -281,6 +280,44 @@ def test_op6_jaccard_dense_groups(spark, seed):
         assert got == components(list(sets), sets, num, 100)
 
 
+def test_op6_jaccard_repeated_ids(spark):
+    """Rows with one id are one document, linked by each of its texts."""
+    from palimpsest.llm import jaccard
+
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, b + " end"), (5, c), (5, c), (6, c[:-4]), (None, a), (7, a + " " + b), (7, "short"), (8, "short")]
+    got = jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), n=3, num=90).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 5), (7, 7), (8, 7), (None, None)}
+    assert len(got) == len(rows)
+
+
+@pytest.mark.parametrize("num", [50, 80])
+def test_op6_jaccard_all_links(spark, num):
+    """``linked_pairs`` loses no link between different texts, for short and long sets."""
+    from palimpsest.llm import jaccard
+
+    rng = np.random.default_rng(num)
+    rows = []
+    for size in (1, 3, 40, 200, 3000):
+        base = rng.integers(0, 9000, size)
+        for k in range(12):
+            own = base.copy()
+            for at in rng.integers(0, size, rng.integers(0, 2 + size // 40)):
+                own[at] = rng.integers(0, 9000)
+            rows.append((len(rows), " ".join(map(str, own[: size - size * k // 100]))))
+    sets = {i: shingles(t, 3) for i, t in rows}
+    members, links = jaccard.linked_pairs(spark.createDataFrame(rows, "doc_id long, text string"), n=3, num=num)
+    of = {r["doc_id"]: r["class_id"] for r in members.collect()}
+    assert of == {i: min(j for j in sets if sets[j] == sets[i]) for i in sets if sets[i]}
+    wanted = set()
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if of.get(a) == a and of.get(b) == b and a < b and both * 100 >= num * len(sets[a] | sets[b]):
+                wanted.add((a, b))
+    assert {(r["a"], r["b"]) for r in links.collect()} == wanted and wanted
+
+
 def test_op7_rules(result, docs):
     got = result("op7_rules").set_index("doc_id")
     for doc_id, text in zip(docs.doc_id, docs.text):
