@@ -1,10 +1,12 @@
 """Packing of documents into windows by Karmarkar-Karp differencing.
 
-Documents are cut into pieces; a group of pieces fills a given number of
-windows.  Each piece starts as a partition of its own: one window holds it, the
-others are empty.  The two partitions with the largest spread are merged again
-and again, the fullest window of one with the emptiest of the other, until one
-partition is left.  If a window exceeds the capacity, one more window is used.
+A document that fits a window stays whole.  A longer one gives full windows of
+its own, and its rest is packed like the others.  A group of documents fills a
+given number of windows.  Each document starts as a partition of its own: one
+window holds it, the others are empty.  The two partitions with the largest
+spread are merged again and again, the fullest window of one with the emptiest
+of the other, until one partition is left.  If a window exceeds the capacity,
+one more window is used.
 
 Groups are formed from consecutive rows inside each task, so no row is
 shuffled and memory is bounded by one group plus one document.
@@ -28,8 +30,8 @@ from palimpsest.llm.common import arrow_batches, slices, texts_of
 from palimpsest.llm.tokens import encoder
 
 CAPACITY = 4096
-#: Windows of a group, and the longest piece that a document is cut into.
-WINDOWS, PIECE = 32, 512
+#: Windows of a group.
+WINDOWS = 128
 #: Tokens left free in each window of a group, so that equal windows stay under the capacity.
 SLACK = 24
 
@@ -80,72 +82,49 @@ def balanced(sizes: list[int], capacity: int) -> tuple[np.ndarray, int]:
         windows += 1
 
 
-class _Group:
-    """Pieces of consecutive documents, up to a number of tokens."""
-
-    def __init__(self, room: int):
-        self.room = room
-        self.pieces: list[tuple] = []  # doc_id, start, ids, tokens of the document
-
-    def add(self, doc: tuple, ids: np.ndarray, start: int, piece: int) -> int:
-        """Take pieces from ``start`` on while there is room; returns where the rest begins."""
-        while start < len(ids) and self.room:
-            size = min(piece, len(ids) - start, self.room)
-            self.pieces.append((*doc, start, ids[start : start + size]))
-            self.room -= size
-            start += size
-        return start
-
-
-def _placed(group: _Group, first: int, capacity: int) -> tuple[list[tuple], int]:
-    """Rows of a group, its windows numbered from ``first``; neighbouring pieces of a document become one."""
-    window, windows = balanced([len(p[4]) for p in group.pieces], capacity)
+def _rows(pieces: list[tuple], window: Iterable[int], windows: int, first: int) -> list[tuple]:
+    """Rows of pieces (doc_id, tokens of the document, start, ids), with their windows numbered from ``first``."""
     rows, offset = [], [0] * windows
-    last: dict[int, list] = {}
-    for w, (number, doc_id, tokens, start, ids) in zip(window.tolist(), group.pieces):
-        before = last.get(w)
-        if before and before[0] == number and before[3] + before[4] == start:
-            before[4] += len(ids)
-            before[6].append(ids)
-        else:
-            last[w] = [number, doc_id, tokens, start, len(ids), offset[w], [ids], first + w]
-            rows.append(last[w])
+    for w, (doc_id, tokens, start, ids) in zip(window, pieces):
+        raw = ids.astype("<u4").tobytes()
+        rows.append((doc_id, start, len(ids), zlib.crc32(raw), tokens, first + w, offset[w], raw))
         offset[w] += len(ids)
-    return rows, first + windows
+    return rows
 
 
-def pack(df: DataFrame, path: str, end_id: int = 2, capacity: int = CAPACITY, with_ids: bool = False, windows: int = WINDOWS, piece: int = PIECE, slack: int = SLACK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(df: DataFrame, path: str, end_id: int = 2, capacity: int = CAPACITY, with_ids: bool = False, windows: int = WINDOWS, slack: int = SLACK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; ``ids`` too if asked for."""
     arrow_batches(df.sparkSession)
-    piece, slack = min(piece, capacity), min(slack, capacity - 1)
+    slack = min(slack, capacity - 1)
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
     schema = pa.schema(fields + ([("ids", pa.binary())] if with_ids else []))
 
-    def batch_of(rows: list[list]) -> pa.RecordBatch:
-        out = []
-        for _, doc_id, tokens, start, length, offset, parts, sequence in rows:
-            raw = np.concatenate(parts).astype("<u4").tobytes()
-            out.append((doc_id, start, length, zlib.crc32(raw), tokens, sequence, offset, raw))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path)
         end = np.array([end_id], words.dtype).tobytes()
         sequence = TaskContext.get().partitionId() << 33
-        full = windows * (capacity - slack)
-        group, number = _Group(full), 0
+        most = max(windows * (capacity - slack), capacity)
+        group: list[tuple] = []
+        room = most
         for batch in slices(batches, "text"):
             for doc_id, raw in zip(batch.column("doc_id").to_pylist(), words.encode(batch.column("text").to_pylist())):
-                ids, start = np.frombuffer(raw + end, words.dtype), 0
-                number += 1
-                while (start := group.add((number, doc_id, len(ids)), ids, start, piece)) < len(ids) or not group.room:
-                    rows, sequence = _placed(group, sequence, capacity)
-                    yield batch_of(rows)
-                    group = _Group(full)
-                    if start == len(ids):
-                        break
-        if group.pieces:
-            yield batch_of(_placed(group, sequence, capacity)[0])
+                ids = np.frombuffer(raw + end, words.dtype)
+                cut = (len(ids) - 1) // capacity * capacity  # a rest of one token at least is left
+                for start in range(0, cut, capacity):
+                    yield batch_of(_rows([(doc_id, len(ids), start, ids[start : start + capacity])], [0], 1, sequence))
+                    sequence += 1
+                if len(ids) - cut > room:
+                    window, used = balanced([len(p[3]) for p in group], capacity)
+                    yield batch_of(_rows(group, window.tolist(), used, sequence))
+                    sequence, group, room = sequence + used, [], most
+                group.append((doc_id, len(ids), cut, ids[cut:]))
+                room -= len(ids) - cut
+        if group:
+            window, used = balanced([len(p[3]) for p in group], capacity)
+            yield batch_of(_rows(group, window.tolist(), used, sequence))
 
     columns = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
     return texts_of(df, id_col, text_col).mapInArrow(run, columns)
