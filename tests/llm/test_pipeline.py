@@ -36,3 +36,24 @@ def test_run_packs_every_token_once(spark, folder):
         assert pieces.start.tolist() == (pieces.length.cumsum() - pieces.length).tolist()
         assert pieces.length.sum() == pieces.doc_tokens.iloc[0]
     assert rows.groupby("sequence_id").length.sum().max() <= 4096
+
+
+def test_empty_tables(spark, empty_folder):
+    rows = corpus_pipeline.run(spark, empty_folder)
+    assert rows.columns[:2] == ["doc_id", "start"] and not rows.collect()
+
+
+def test_null_ids_repeated_rows_and_extra_columns(spark, tmp_path):
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(120)]
+    text, other = " ".join(words), " ".join(reversed(words))
+    rows = [(None, text, "en", "a"), (None, None, None, "b"), (5, text, "en", "c"), (5, text, "en", "c"), (6, "", "en", "d"), (7, text + " end", "en", "e"), (8, other, None, "f")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, _kn string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    three = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        three = stage(spark, three, str(tmp_path))
+        assert three.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["_kn"]) for r in three.collect()) == [("5", "c"), ("5", "c"), ("8", "f"), ("None", "a")]
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(str(r["doc_id"]) for r in packed if r["start"] == 0) == ["5", "5", "8", "None"]
