@@ -2,6 +2,11 @@
 
 Each stage takes (session, documents, folder of the tables) and returns a
 DataFrame; it is stored as Parquet and read again as the next one's documents.
+
+Defined cases: a null or empty text fails the first stage; rows without an id
+are judged by their text in the first two stages, pass the third and are
+packed; rows that share an id are one document for the third stage, and stay or
+go together; extra columns are carried along; an empty table gives no rows.
 """
 
 from __future__ import annotations
