@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from palimpsest.functions.vectors import column_function
+
 
 def trim_nbsp(s: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(s, "^[ \\t\\n\\r\u00a0]+", ""), "[ \\t\\n\\r\u00a0]+$", "")
@@ -51,3 +55,47 @@ def expand(template: Column, values: dict[str, Column]) -> Column:
     for name, value in values.items():
         out = F.replace(out, F.lit("{$" + name + "}"), F.coalesce(value, F.lit("{$" + name + "}")))
     return out
+
+
+def strip_prefix(s: Column, prefixes: list[str], any_case: bool = False, repeat: bool = False) -> Column:
+    """Without the first of ``prefixes`` that it begins with, or without all of them in a row."""
+    quoted = "|".join("".join(c if c.isalnum() else f"[{c}]" if c not in "^\\[]" else f"\\{c}" for c in p) for p in prefixes)
+    return F.regexp_replace(s, ("(?i)" if any_case else "") + f"^({quoted})" + ("+" if repeat else ""), "")
+
+
+def same(a: Column, b: Column, any_case: bool = False) -> Column:
+    """Equality in which null equals null only."""
+    return F.lower(a).eqNullSafe(F.lower(b)) if any_case else a.eqNullSafe(b)
+
+
+def bytes_contain(content: Column, part: str) -> Column:
+    """Whether bytes hold an ASCII text, in any case."""
+    return F.lower(F.decode(content, "ISO-8859-1")).contains(part.lower())
+
+
+#: Letters of Cyrillic text in UTF-8, each read as two characters of CP1251.
+_MISREAD = re.compile("[\u0420\u0421][\u0080-\u00ff\u0400-\u045f\u0490\u0491\u2010-\u203a\u20ac\u2116\u2122]")
+
+
+def recovered(s: str) -> str:
+    """Misread Cyrillic as it was; text whose letters do not come in such pairs stays."""
+    odd = sum(c > "\x7f" for c in s)
+    if odd < 8 or 2 * len(_MISREAD.findall(s)) < 0.8 * odd:
+        return s
+    try:
+        return s.encode("cp1251").decode("utf-8")
+    except UnicodeError:
+        return s
+
+
+recover_garbled = column_function(recovered)
+
+
+def is_garbled(s: Column) -> Column:
+    return recover_garbled(s) != s
+
+
+def part_of_name(name: Column) -> Column:
+    """Part label of a month file: the number between its last hyphen and its last dot, else 1."""
+    found = F.regexp_extract(name, "-([0-9]+)[.][^.-]*$", 1)
+    return F.when(found == "", 1).otherwise(found.try_cast("int"))

@@ -22,8 +22,8 @@ def host_lowercase(url: Column) -> Column:
 
 
 def decode(url: Column) -> Column:
-    """Percent-decoding that keeps ``+``; undecodable input gives null."""
-    return F.try_url_decode(F.replace(url, F.lit("+"), F.lit("%2B")))
+    """Percent-decoding that keeps ``+``; undecodable input stays."""
+    return F.coalesce(F.try_url_decode(F.replace(url, F.lit("+"), F.lit("%2B"))), url)
 
 
 def has_percent_encoding(url: Column) -> Column:
@@ -74,7 +74,7 @@ def query_parameter(url: Column, name: str) -> Column:
 
 
 def variant_score(url: Column) -> Column:
-    """The lower, the better a spelling: https counts -10, %25 +10, %20 +5, and one for each 100 characters."""
+    """Fixed values; the lower, the better a spelling: https counts -10, %25 +10, %20 +5, and one for each 100 characters."""
     one = lambda test, points: F.when(test, points).otherwise(0)
     return (one(url.startswith("https:"), -10) + one(url.contains("%25"), 10) + one(url.contains("%20"), 5) + F.floor(F.length(url) / 100)).cast("long")
 

@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions import urls
+from palimpsest.functions import redirects, urls
+from palimpsest.operators import maps
 from palimpsest.plans.links import LINKS_SQL, link_facts
 
 
 def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Link facts with the target's path, and the path in lower case as the key."""
-    facts = link_facts(spark, sf_dir).withColumn("path", urls.path_of(F.col("href")))
+    """Link facts with the host and path that a link means on its page, and both in lower case as the key."""
+    meant = redirects.columns.resolve(F.col("page_url"), F.col("href"))
+    facts = link_facts(spark, sf_dir).withColumn("path", F.concat(urls.host_lowercase(meant), urls.path_of(meant)))
     return facts.where("path <> ''").withColumn("path_key", F.lower("path"))
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct paths of stored pages, in lower case."""
+    """Distinct hosts and paths of stored pages, in lower case."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return pages.select(F.lower(urls.path_of(F.col("url"))).alias("path_key")).distinct()
+    return pages.select(F.lower(F.concat(urls.host(F.col("url")), urls.path_of(F.col("url")))).alias("path_key")).distinct()
 
 
 def missing_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +41,9 @@ def spelling_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def case_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change set: links that are spelled otherwise than the first spelling of their target."""
-    change = _targets(spark, sf_dir).join(spelling_collisions(spark, sf_dir), "path_key").where("path <> first_spelling")
+    # one pass over the pages: the first spelling of a target, next to each link to it
+    own = Window.partitionBy("path_key").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    change = _targets(spark, sf_dir).withColumn("first_spelling", F.min("path").over(own)).where("path <> first_spelling")
     return change.select("page_id", "pos", F.col("path").alias("old"), F.col("first_spelling").alias("new"))
 
 
@@ -55,8 +59,7 @@ def link_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def first_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On each page the first link to each target."""
-    rank = F.row_number().over(Window.partitionBy("page_id", "path_key").orderBy("pos"))
-    return _targets(spark, sf_dir).withColumn("k", rank).where("k = 1").select("page_id", "pos", "href")
+    return _targets(spark, sf_dir).groupBy("page_id", "path_key").agg(F.min("pos").alias("pos"), F.min_by("href", "pos").alias("href")).select("page_id", "pos", "href")
 
 
 def single_child_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,16 +79,16 @@ def directory_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All directories above the targets, with their depth."""
     parts = F.filter(F.split("path_key", "/"), lambda x: x != "")
     up_to = F.sequence(F.lit(1), F.size(parts) - 1)
-    deep = _targets(spark, sf_dir).select("path_key").distinct().where(F.size(parts) > 1).select(F.explode(F.transform(up_to, lambda k: F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, k), "/")))).alias("directory"))
+    deep = _targets(spark, sf_dir).select("path_key").distinct().where(F.size(parts) > 1).select(F.explode(F.transform(up_to, lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("directory"))
     return deep.distinct().withColumn("depth", urls.path_depth(F.col("directory")))
 
 
 def protocol_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each address looked up under the other protocol, in a map that has one address for each host and path."""
-    u = F.col("url")
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", urls.strip_protocol(u).alias("bare"))
-    known = pages.groupBy("bare").agg(F.min_by("url", F.struct(~u.startswith("https:"), u)).alias("found"))
-    return pages.join(known, "bare").select("page_id", "found", (F.col("found") == u).alias("exact"))
+    """Each address, its protocol flipped, looked up in the map of stored addresses: as it is first, else flipped back."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", urls.flip_protocol(F.col("url")).alias("wanted"), "url")
+    known = pages.select(F.col("url").alias("url")).distinct().withColumn("relpath", F.col("url"))
+    found = maps.lookup(pages.select(F.col("wanted").alias("url")).distinct(), known)
+    return pages.join(found.withColumnRenamed("url", "wanted"), "wanted").select("page_id", F.col("relpath").alias("found"), "exact")
 
 
 def repository_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,8 +105,10 @@ def remaining_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey").join(done, "c_custkey", "left_anti")
 
 
-_T = f"(SELECT *, lower(path) AS path_key FROM (SELECT *, regexp_extract(regexp_replace(href, '(?i)^[a-z]+://[^/?#]*', ''), '^([^?#]*)', 1) AS path FROM {LINKS_SQL}) WHERE path <> '')"
-_S = "(SELECT DISTINCT lower(regexp_extract(regexp_replace(url, '(?i)^[a-z]+://[^/?#]*', ''), '^([^?#]*)', 1)) AS path_key FROM pages)"
+# all links of the driver's pages begin with a slash, or are absolute
+_T = rf"""(SELECT *, lower(path) AS path_key FROM (SELECT *, CASE WHEN starts_with(href, '/') THEN lower(regexp_extract(page_url, '^https?://([^/?#:]+)', 1)) || regexp_extract(href, '^([^?#]*)', 1)
+  ELSE lower(regexp_extract(href, '^https?://([^/?#:]+)', 1)) || regexp_extract(href, '^https?://[^/?#]*([^?#]*)', 1) END AS path FROM {LINKS_SQL}) WHERE path <> '')"""
+_S = "(SELECT DISTINCT lower(regexp_extract(url, '^https?://([^/?#:]+)', 1) || regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)) AS path_key FROM pages)"
 _C = f"(SELECT path_key, count(DISTINCT path) AS n_spellings, min(path) AS first_spelling FROM {_T} GROUP BY path_key HAVING count(DISTINCT path) > 1)"
 
 SQL = {
@@ -115,8 +120,8 @@ SQL = {
     "first_occurrences": f"SELECT page_id, min(pos) AS pos, arg_min(href, pos) AS href FROM {_T} GROUP BY page_id, path_key",
     "single_child_directories": f"SELECT directory, min(path_key) AS only_child FROM (SELECT DISTINCT path_key, regexp_extract(path_key, '^(.*/)[^/]+$', 1) AS directory FROM {_T}) WHERE directory <> '' GROUP BY directory HAVING count(*) = 1",
     "file_and_directory_names": f"SELECT path_key FROM {_T} INTERSECT SELECT regexp_extract(path_key, '^(.*)/[^/]+$', 1) FROM {_T}",
-    "directory_tree": f"WITH RECURSIVE up(d) AS (SELECT DISTINCT regexp_extract(rtrim(path_key, '/'), '^(.*)/[^/]+$', 1) FROM {_T} UNION SELECT regexp_extract(d, '^(.*)/[^/]+$', 1) FROM up WHERE d <> '') SELECT d AS directory, CAST(length(d) - length(replace(d, '/', '')) AS BIGINT) AS depth FROM up WHERE d <> ''",
-    "protocol_lookup": "SELECT page_id, f AS found, f = url AS exact FROM (SELECT page_id, url, first_value(url) OVER (PARTITION BY regexp_replace(url, '(?i)^https?://', '') ORDER BY NOT starts_with(url, 'https:'), url) AS f FROM pages)",
+    "directory_tree": f"WITH RECURSIVE up(d) AS (SELECT DISTINCT regexp_extract(rtrim(path_key, '/'), '^(.*)/[^/]+$', 1) FROM {_T} UNION SELECT regexp_extract(d, '^(.*)/[^/]+$', 1) FROM up WHERE d <> '') SELECT d AS directory, CAST(length(d) - length(replace(d, '/', '')) + 1 AS BIGINT) AS depth FROM up WHERE d <> ''",
+    "protocol_lookup": "SELECT page_id, CASE WHEN w IN (SELECT url FROM pages) THEN w ELSE url END AS found, w IN (SELECT url FROM pages) AS exact FROM (SELECT page_id, url, CASE WHEN starts_with(url, 'https://') THEN 'http' || url[6:] WHEN starts_with(url, 'http://') THEN 'https' || url[5:] ELSE url END AS w FROM pages)",
     "repository_merge": "SELECT CAST(coalesce(n_nationkey, r_regionkey) AS BIGINT) AS relpath, CASE WHEN n_name IS NULL THEN 'new' WHEN r_name IS NULL THEN 'kept' WHEN n_name = r_name THEN 'equal' ELSE 'conflict' END AS state FROM nation FULL JOIN region ON n_nationkey = r_regionkey",
     "remaining_items": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
 }

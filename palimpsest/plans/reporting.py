@@ -80,8 +80,9 @@ def slow_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed getters on JSON: a number is accepted as text, other kinds are not."""
-    raw = F.get_json_object("props", "$.k")
+    """Typed getters on JSON: a text or a whole number is accepted as text, other kinds give null."""
+    found = F.try_variant_get(F.try_parse_json("props"), "$.k", "variant")
+    raw = F.when(F.schema_of_variant(found).isin("STRING", "BIGINT"), F.try_variant_get(found, "$", "string"))
     stamp = text.archive_stamp(F.col("ts"))
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", raw.alias("k_text"), raw.try_cast("long").alias("k"), stamp.alias("stamp"))
 
@@ -104,9 +105,9 @@ def _comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def comment_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn with its parent, the turn before; a turn without one is a violation unless it is the first."""
-    c = _comments(spark, sf_dir)
-    parent = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("role").alias("parent_role"))
-    return c.join(parent, ["conv_id", "turn"], "left").select("conv_id", "turn", "parent_role", (F.col("parent_role").isNull() & (F.col("turn") > 0)).alias("violation"))
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    before = F.when(F.lag("turn").over(order) == F.col("turn") - 1, F.lag("role").over(order))
+    return _comments(spark, sf_dir).select("conv_id", "turn", before.alias("parent_role"), (before.isNull() & (F.col("turn") > 0)).alias("violation"))
 
 
 def comment_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +134,7 @@ SQL = {
     "request_gaps": "SELECT event_id, g AS gap_ms, CASE WHEN g < 1200 THEN 1200 - g ELSE 0 END AS wait_ms FROM (SELECT event_id, epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events)",
     "cooloff_intervals": "SELECT user_id, CAST(span AS BIGINT) AS span, count(*) AS n_errors, min(us) AS begins, max(us) + 180000000 AS ends FROM (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS span FROM (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us, event_id) <= 180000000 THEN 0 ELSE 1 END AS o FROM (SELECT *, epoch_us(ts) AS us FROM events WHERE event_type = 'error'))) GROUP BY user_id, span",
     "slow_requests": "SELECT event_id, value FROM events WHERE value >= 100",
-    "event_properties": "SELECT event_id, json_extract_string(props, '$.k') AS k_text, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, strftime(ts, '%Y%m%d%H%M%S') AS stamp FROM events",
+    "event_properties": "SELECT event_id, CASE WHEN json_type(props, '$.k') IN ('VARCHAR', 'BIGINT', 'UBIGINT') THEN json_extract_string(props, '$.k') END AS k_text, CASE WHEN json_type(props, '$.k') IN ('VARCHAR', 'BIGINT', 'UBIGINT') THEN TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k, strftime(ts, '%Y%m%d%H%M%S') AS stamp FROM events",
     "first_snapshots": "SELECT user_id, event_type, first(event_id ORDER BY ts, event_id) AS event_id FROM events GROUP BY ALL",
     "failure_budget": "SELECT user_id, CAST(greatest(least(count(*) // 100, 50), 20) AS BIGINT) AS budget FROM events GROUP BY user_id",
     "comment_parents": "SELECT c.conv_id, c.turn, p.role AS parent_role, p.role IS NULL AND c.turn > 0 AS violation FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1",

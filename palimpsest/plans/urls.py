@@ -64,10 +64,15 @@ def archive_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def canonical_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best spelling of each page address: least score, then the spelling itself."""
-    u = F.col("url")
-    key = urls.strip_trailing_slash(urls.strip_protocol(F.lower(urls.strip_parameters(urls.strip_anchor(u)))))
-    return _pages(spark, sf_dir).groupBy(key.alias("url_key")).agg(F.min_by("url", F.struct(urls.variant_score(u), u)).alias("url"), F.count("*").alias("n_variants"))
+    """The best spelling of each page address: own port, anchor and last slash cut, least score, https where any spelling has it."""
+    u = urls.strip_trailing_slash(urls.strip_anchor(urls.strip_default_port(F.col("url"))))
+    pages = _pages(spark, sf_dir).select(u.alias("u"))
+    host = F.regexp_extract(urls.strip_protocol(F.col("u")), "^([^/?#]*)", 1)
+    key = F.concat(F.lower(host), F.substr(urls.strip_protocol(F.col("u")), F.length(host) + 1))
+    best = F.min_by("u", F.struct(urls.variant_score(F.col("u")), F.col("u")))
+    secure = F.bool_or(F.lower("u").startswith("https://"))
+    groups = pages.groupBy(key.alias("url_key")).agg(best.alias("best"), secure.alias("secure"), F.count("*").alias("n_variants"))
+    return groups.select("url_key", F.when(F.col("secure"), F.regexp_replace("best", "^(?i)http://", "https://")).otherwise(F.col("best")).alias("url"), "n_variants")
 
 
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +120,10 @@ SQL = {
       FROM (SELECT *, lower(regexp_extract(p, '\\.([A-Za-z0-9]+)$', 1)) AS x FROM (SELECT *, {_PATH} AS p FROM pages))""",
     "blocked_urls": "SELECT page_id, url FROM (SELECT *, regexp_replace(url, '(?i)^https?://', '') AS r FROM pages) WHERE regexp_matches(r, '^([^/]+\\.)?example\\.org/es') OR starts_with(r, 'www.') OR starts_with(r, 'm.') OR regexp_matches(r, '^([^/]+\\.)?example\\.com$')",
     "archive_urls": f"SELECT page_id, {_SNAP} AS snapshot, true AS is_archive, url AS original FROM pages",
-    "canonical_urls": f"SELECT k AS url_key, first(url ORDER BY s, url) AS url, count(*) AS n_variants FROM (SELECT url, {_SCORE} AS s, rtrim(regexp_replace(lower(split_part({_NO_ANCHOR}, '?', 1)), '^https?://', ''), '/') AS k FROM pages) GROUP BY k",
+    "canonical_urls": f"""SELECT k AS url_key, CASE WHEN secure THEN regexp_replace(best, '^http://', 'https://') ELSE best END AS url, n_variants FROM (
+      SELECT lower(h) || r[length(h) + 1:] AS k, first(url ORDER BY {_SCORE}, url) AS best, bool_or(starts_with(url, 'https://')) AS secure, count(*) AS n_variants
+      FROM (SELECT url, r, regexp_extract(r, '^([^/?]*)', 1) AS h FROM (SELECT url, regexp_replace(url, '^https?://', '') AS r FROM (
+        SELECT rtrim(regexp_replace(regexp_replace(split_part(url, '#', 1), '^(http://[^/?:]+):80([/?]|$)', '\\1\\2'), '^(https://[^/?:]+):443([/?]|$)', '\\1\\2'), '/') AS url FROM pages))) GROUP BY ALL)""",
     "page_titles": f"""SELECT page_id, trim(regexp_replace(t, '[ \\t\\n\\r\u00a0]+', ' ', 'g')) AS title, regexp_replace(regexp_replace(t, '^[ \\t\\n\\r\u00a0]+', ''), '[ \\t\\n\\r\u00a0]+$', '') AS trimmed, n_paragraphs, n || CASE WHEN n = 1 THEN ' item' ELSE ' items' END AS items
       FROM (SELECT page_id, {_TITLE} AS t, CAST((length(html) - length(replace(html, '<p>', ''))) // 3 AS BIGINT) AS n_paragraphs, (length(html) - length(replace(html, '<li>', ''))) // 4 AS n FROM pages)""",
     "page_tags": "SELECT page_id, lower(t) AS tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([A-Za-z][A-Za-z0-9]*)', 1)) AS t FROM pages) GROUP BY ALL",

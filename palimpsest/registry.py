@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.plans import integrity, links, reporting, urls
+from palimpsest.plans import addresses, archive, integrity, links, reporting, urls
 
-_MODULES = (links, urls, integrity, reporting)
+_MODULES = (links, urls, integrity, reporting, addresses, archive)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
