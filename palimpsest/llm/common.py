@@ -9,8 +9,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
@@ -20,25 +18,12 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.shared import shared_dir
+
 #: Rows the JVM hands to Python at once; long texts make such a batch large.
 BATCH_ROWS = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set and one machine does all (tests)."""
-    conf = spark.sparkContext.getConf()
-    folder = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = set_dir.get() if set_dir.isDefined() else None
-    if not folder and not re.fullmatch(r"local(\[.*\])?", conf.get("spark.master", "local")):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def workspace(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_dir(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"

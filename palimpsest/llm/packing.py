@@ -104,14 +104,12 @@ def pack(df: DataFrame, path: str, end_id: int = 2, capacity: int = CAPACITY, wi
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path)
-        end = np.array([end_id], words.dtype).tobytes()
         sequence = TaskContext.get().partitionId() << 33
         most = max(windows * (capacity - slack), capacity)
         group: list[tuple] = []
         room = most
-        for batch in slices(batches, "text"):
-            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), words.encode(batch.column("text").to_pylist())):
-                ids = np.frombuffer(raw + end, words.dtype)
+        for batch in slices(batches, "text", 1_000_000):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.encode(batch.column("text").to_pylist(), end_id)):
                 cut = (len(ids) - 1) // capacity * capacity  # a rest of one token at least is left
                 for start in range(0, cut, capacity):
                     yield batch_of(_rows([(doc_id, len(ids), start, ids[start : start + capacity])], [0], 1, sequence))
@@ -120,7 +118,7 @@ def pack(df: DataFrame, path: str, end_id: int = 2, capacity: int = CAPACITY, wi
                     window, used = balanced([len(p[3]) for p in group], capacity)
                     yield batch_of(_rows(group, window.tolist(), used, sequence))
                     sequence, group, room = sequence + used, [], most
-                group.append((doc_id, len(ids), cut, ids[cut:]))
+                group.append((doc_id, len(ids), cut, ids[cut:].copy()))
                 room -= len(ids) - cut
         if group:
             window, used = balanced([len(p[3]) for p in group], capacity)

@@ -35,11 +35,11 @@ class WordEncoder:
     """
 
     #: Chunks kept in each of two generations.
-    KEPT = 150_000
+    KEPT = 220_000
     #: Longer chunks are not kept.
     LONGEST = 64
-    #: A chunk that stands alone between others; its ids mark where they end.
-    MARK = "‖"
+    #: Characters one of which stands alone between chunks that lack it; its id marks where they end.
+    MARKS = "~^`|@=_+*#$%&"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -50,46 +50,71 @@ class WordEncoder:
         self.size = size
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.mark = self._ids(self.MARK)
+        self.marks = {c: int(self._ids(c)[0]) for c in self.MARKS if len(self._ids(c)) == 1}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
 
     def _split(self, chunks: list[str]) -> list[bytes]:
-        """Ids of many chunks by one call: they are joined by the mark and cut at its ids."""
+        """Ids of many chunks by one call: they are joined by a mark and cut at its id."""
         if not chunks:
             return []
-        joined = f" {self.MARK} ".join(chunks)
-        ids, mark = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.dtype), self.mark
-        at = np.ones(max(len(ids) - len(mark) + 1, 0), bool)
-        for k, value in enumerate(mark):
-            at &= ids[k : len(ids) - len(mark) + 1 + k] == value
-        cut = np.flatnonzero(at)
-        if len(cut) != len(chunks) - 1:  # the mark's ids occur in the chunks themselves
+        together = "".join(chunks)
+        mark = next((c for c in self.marks if c not in together), None)
+        if mark is None:
+            return [self._ids(c).tobytes() for c in chunks]
+        ids = np.array(self.tokenizer.encode_batch_fast([f" {mark} ".join(chunks)], add_special_tokens=False)[0].ids, self.dtype)
+        cut = np.flatnonzero(ids == self.marks[mark])
+        if len(cut) != len(chunks) - 1:  # a tokenizer that makes the mark's id of other characters too
             return [self._ids(c).tobytes() for c in chunks]
         width, raw = self.dtype.itemsize, ids.tobytes()
-        starts = np.concatenate(([0], cut + len(mark))) * width
+        starts = np.concatenate(([0], cut + 1)) * width
         ends = np.concatenate((cut, [len(ids)])) * width
         return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text, as bytes of ``dtype``."""
-        cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        distinct = set().union(*cut)
+    def _ids_of(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks; those seen lately are known."""
         young, old = self.young, self.old
-        missing = distinct.difference(young)
-        again = missing.intersection(old)
-        young.update((c, old[c]) for c in again)
-        fresh = list(missing - again)
-        young.update(zip(fresh, self._split(fresh)))
-        out = [b"".join(map(young.__getitem__, chunks)) for chunks in cut]
-        for chunk in fresh:
-            if len(chunk) > self.LONGEST:
-                del young[chunk]
+        out = list(map(young.get, chunks))
+        missing = [k for k, value in enumerate(out) if value is None]
+        fresh = []
+        for k in missing:
+            chunk = chunks[k]
+            value = old.get(chunk)
+            if value is None:
+                fresh.append(k)
+            else:
+                out[k] = young[chunk] = value
+        for k, value in zip(fresh, self._split([chunks[k] for k in fresh])):
+            out[k] = value
+            if len(chunks[k]) <= self.LONGEST:
+                young[chunks[k]] = value
         if len(young) > self.KEPT:
             self.old, self.young = young, {}
         return out
 
+    def encode(self, texts: list[str | None], end: int | None = None) -> list[np.ndarray]:
+        """Ids of each text, ``end`` last if there is one."""
+        cut = pa.compute.split_pattern(pa.compute.replace_substring(pa.array([t or "" for t in texts], pa.large_string()), "\n", " "), " ")
+        coded = cut.values.dictionary_encode()
+        place = coded.indices.to_numpy()
+        known = self._ids_of(coded.dictionary.to_pylist())
+        ids = np.frombuffer(b"".join(known), self.dtype)
+        lengths = np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize
+        starts = np.cumsum(lengths) - lengths
+        # where each chunk's ids go, and where they come from
+        n = lengths[place]
+        ends = np.cumsum(n)
+        source = np.repeat(starts[place] - (ends - n), n)
+        source += np.arange(len(source))
+        flat = ids[source]
+        edges = np.concatenate(([0], ends))[np.asarray(cut.offsets)]
+        if end is None:
+            return [flat[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+        flat = np.insert(flat, edges[1:], end)
+        edges += np.arange(len(edges))
+        return [flat[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+
 
 def encoder(path: str) -> WordEncoder:
     """One encoder in each Python process; its kept chunks serve later tasks."""
@@ -102,11 +127,9 @@ def encode_texts(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path)
-        end = np.array([end_id], words.dtype).tobytes()
-        for batch in slices(batches, "text"):
-            ids = [x + end for x in words.encode(batch.column("text").to_pylist())]
-            lengths = [len(x) // words.dtype.itemsize for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        for batch in slices(batches, "text", 1_000_000):
+            ids = words.encode(batch.column("text").to_pylist(), end_id)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, ids), pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return texts_of(df, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
