@@ -17,12 +17,13 @@ the set, so the bound is close for short and long texts alike.  Each pair that
 passes is verified once on its sets.
 
 Groups of many near copies would make the square of their size in pairs.  So a
-first round compares the members of each index entry with its shortest and its
-longest member only.  Links found so far give components; the second round
+first round compares the members of each index entry with its shortest, its
+longest and its most central member only (the one with the fewest rare shingles
+before the shared one).  Links found so far give components; the second round
 lists, entry by entry and by length, just pairs of members of different
 components, and takes a pair at the first shingle that its prefixes share.  Of
-these pairs each member's nearest (by parities) is verified first; what is then
-still between components is verified last.  Pairs inside a component cannot
+these pairs each member's nearest (by parities) is verified first, a few times
+where many are left; what is then still between components is verified last.  Pairs inside a component cannot
 change the result, so the components are exact.  ``linked_pairs`` gives all
 links instead.
 
@@ -46,12 +47,14 @@ from palimpsest.llm.common import arrow_batches, kept, release, slices, stored,
 
 #: Entries of the table that orders shingles, and of a chunk of it; its size does not depend on the input.
 BUCKETS, CHUNK = 1 << 24, 1 << 12
-#: Parts that a set is dealt into for the suffix filter: the power of two from its size on, within these.
-LEAST_PARTS, MOST_PARTS = 64, 1 << 14
+#: Parts that a set is dealt into for the suffix filter: four for each shingle, rounded to a power of two, within these.
+LEAST_PARTS, MOST_PARTS = 64, 1 << 15
 #: Parts that go with each posting; the whole number of parts is compared once for each pair.
-BRIEF_PARTS = 256
+BRIEF_PARTS = 512
 #: Shingles at the head of a prefix by which a pair is known to have been listed before.
 HEAD = 8
+#: Rounds in which the nearest pairs are verified before all that are left; one if there are fewer than this many for each nearest pair.
+ROUNDS, FEW = 3, 16
 #: Bits of the table that picks the documents whose sets are made: so many for each document, within these bounds.
 MARKS_EACH, LEAST_MARKS, MOST_MARKS = 16, 1 << 16, 1 << 27
 _WORDS_KEPT = 200_000
@@ -153,7 +156,7 @@ def shingle_levels(docs: DataFrame, n: int) -> np.ndarray:
 
 def parities(shingles: np.ndarray, most: int = MOST_PARTS) -> np.ndarray:
     """A bit for each part of the set: whether it holds an odd number of shingles."""
-    parts = min(most, max(LEAST_PARTS, 1 << max(0, len(shingles) - 1).bit_length()))
+    parts = min(most, max(LEAST_PARTS, 1 << max(0, 4 * len(shingles) - 1).bit_length()))
     odd = np.bincount((shingles & np.uint64(parts - 1)).astype(np.int64), minlength=parts).astype(np.uint8) & 1
     return np.packbits(odd, bitorder="little").view("<i8")
 
@@ -308,7 +311,7 @@ class _Index:
     def stars(self) -> DataFrame:
         """Pairs of a member and the hub that it shares most prefix shingles with."""
         member = F.struct("n", "node", "pos")
-        entries = self.tables.store(self.shared.groupBy("token").agg(F.min(member).alias("shortest"), F.max(member).alias("longest")), "entries")
+        entries = self.tables.store(self.shared.groupBy("token").agg(F.min(member).alias("shortest"), F.max(member).alias("longest"), F.min(F.struct("pos", "n", "node")).alias("central")), "entries")
         met = self.shared.join(entries, "token")
 
         def star(end: str) -> DataFrame:
@@ -316,7 +319,7 @@ class _Index:
             fits = (F.least("n", hub["n"]) * self.den >= F.greatest("n", hub["n"]) * self.num) & (F.least(F.col("n") - F.col("pos"), hub["n"] - hub["pos"]) >= needed(F.col("n"), hub["n"], self.num, self.den))
             return met.where((F.col("node") != hub["node"]) & fits).select("node", hub["node"].alias("hub"))
 
-        times = star("shortest").unionByName(star("longest")).groupBy("node", "hub").agg(F.count("*").alias("times"))
+        times = star("shortest").unionByName(star("longest")).unionByName(star("central")).groupBy("node", "hub").agg(F.count("*").alias("times"))
         best = times.groupBy("node").agg(F.max_by("hub", F.struct("times", -F.col("hub"))).alias("hub"))
         return best.select(*_pair(F.col("node"), F.col("hub"))).distinct()
 
@@ -363,15 +366,22 @@ def similar_groups(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_
     """Per row: doc_id, n_shingles and component_id, the least doc_id reachable by links."""
     index = _Index(df, n, num, den, id_col, text_col)
     links = index.verified(index.stars()).unionByName(index.same_id())
-    pairs = index.pairs(components(links))
-    ends = pairs.select("a", "b", "apart", F.explode(F.array("a", "b")).alias("node"))
-    nearest = ends.groupBy("node").agg(F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("pair"))
-    nearest = index.tables.store(nearest.select("pair.a", "pair.b").distinct(), "nearest")
-    links = links.unionByName(index.verified(nearest))
-    found = components(links)
-    of = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
-    rest = pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b"))
-    links = links.unionByName(index.verified(rest.select("a", "b").join(nearest, ["a", "b"], "left_anti")))
+    left = index.pairs(components(links))
+    for k in range(ROUNDS):
+        n_left = left.count()
+        if not n_left:
+            break
+        ends = left.select("a", "b", "apart", F.explode(F.array("a", "b")).alias("node"))
+        nearest = ends.groupBy("node").agg(F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("pair"))
+        nearest = index.tables.store(nearest.select("pair.a", "pair.b").distinct(), "nearest")
+        links = links.unionByName(index.verified(nearest))
+        found = components(links)
+        of = lambda side, found=found: found.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
+        left = left.join(nearest, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        left = index.tables.store(left.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b", "apart"), "left")
+        if n_left < FEW * nearest.count():
+            break
+    links = links.unionByName(index.verified(left.select("a", "b")))
     labels = components(links)
     linked = index.members.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     alone = index.profile.where(F.col("doc_id").isNull() | (F.col("n_shingles") == 0)).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
