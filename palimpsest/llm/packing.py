@@ -31,7 +31,7 @@ from palimpsest.llm.tokens import encoder
 
 CAPACITY = 4096
 #: Windows of a group.
-WINDOWS = 128
+WINDOWS = 64
 #: Tokens left free in each window of a group, so that equal windows stay under the capacity.
 SLACK = 24
 
@@ -108,7 +108,7 @@ def pack(df: DataFrame, path: str, end_id: int = 2, capacity: int = CAPACITY, wi
         most = max(windows * (capacity - slack), capacity)
         group: list[tuple] = []
         room = most
-        for batch in slices(batches, "text", 1_000_000):
+        for batch in slices(batches, "text", 3_000_000):
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.encode(batch.column("text").to_pylist(), end_id)):
                 cut = (len(ids) - 1) // capacity * capacity  # a rest of one token at least is left
                 for start in range(0, cut, capacity):

@@ -127,7 +127,7 @@ def encode_texts(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path)
-        for batch in slices(batches, "text", 1_000_000):
+        for batch in slices(batches, "text", 3_000_000):
             ids = words.encode(batch.column("text").to_pylist(), end_id)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, ids), pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "n_tokens", "ids"])
 
