@@ -2,7 +2,8 @@
 
 Training counts letter trigrams, hashed into a fixed number of buckets, for
 each language over all training texts; smoothed shares give a table of log
-probabilities whose size is bounded by buckets times languages.
+probabilities.  Its size is bounded for any number of languages: the more
+there are, the fewer buckets each has.
 
 A document is a mixture: every word (at most 16 letters of it at a time) is
 written in one language, with the document's unknown proportions.
@@ -28,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import arrow_batches, slices
+from palimpsest.llm.common import arrow_batches, release, slices, stored
 
 BUCKETS = 1 << 16
-#: Languages at most; the table has this many columns at the worst.
-MOST_LANGUAGES = 1000
+#: Cells of the table at most; with so many languages that it would have more, buckets are joined in pairs, fours and so on.
+MOST_CELLS = 1 << 26
 WORD_LETTERS = 16
 #: Rounds of expectation-maximisation, and the change of a proportion that ends it.
 ROUNDS, SETTLED = 50, 1e-4
@@ -110,15 +111,16 @@ class Languages:
 
     @classmethod
     def learn(cls, docs: DataFrame) -> Languages:
-        """From columns lang and text.  At most BUCKETS rows for each language reach the driver."""
-        counts = training_counts(docs).toPandas()
-        names = sorted(counts["lang"].unique())
-        if len(names) > MOST_LANGUAGES:
-            raise ValueError(f"{len(names)} languages; the table holds {MOST_LANGUAGES}")
-        total = np.zeros((BUCKETS, len(names)))
+        """From columns lang and text.  At most MOST_CELLS rows reach the driver, one for each bucket that a language uses."""
+        counts, path = stored(training_counts(docs), "langid-counts")
+        names = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+        shift = max(0, (BUCKETS * len(names) - 1).bit_length() - (MOST_CELLS - 1).bit_length())
+        joined = counts.groupBy("lang", F.shiftright("bucket", shift).alias("bucket")).agg(F.sum("n").alias("n")).toPandas()
+        release(docs.sparkSession, path)
+        total = np.zeros((BUCKETS >> shift, len(names)))
         column = {n: k for k, n in enumerate(names)}
-        total[counts["bucket"].to_numpy(int), counts["lang"].map(column).to_numpy(int)] = counts["n"].to_numpy()
-        table = np.log(total + SMOOTHING) - np.log(total.sum(axis=0) + SMOOTHING * BUCKETS) if names else total
+        total[joined["bucket"].to_numpy(int), joined["lang"].map(column).to_numpy(int)] = joined["n"].to_numpy()
+        table = np.log(total + SMOOTHING) - np.log(total.sum(axis=0) + SMOOTHING * len(total)) if names else total
         return cls(names, table.astype(np.float32))
 
     def infer(self, texts: list[str]) -> tuple[list[str], list[float], list[dict[str, float]]]:
@@ -130,6 +132,7 @@ class Languages:
         if not len(bucket):
             return labels, scores, shares
         first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        bucket = bucket >> (BUCKETS // len(self.table)).bit_length() - 1
         likelihood = np.add.reduceat(self.table[bucket], first, axis=0, dtype=np.float64)
         cut = np.searchsorted(text, np.arange(len(texts) + 1))
         for k in range(len(texts)):

@@ -19,6 +19,7 @@ fewer groups than shards some shards stay empty; an empty table gives no rows.
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,15 +102,42 @@ def minimax_cuts(cuts: DataFrame, total: int, shards: int) -> list[int]:
             return evened(sorted(known), high, shards, total)
         # where the k-th end can be: from pessimistic filling at the low capacity to hopeful filling at the high one
         first, last = _ends(digest, low, shards, total, False), _ends(digest, high, shards, total, True)
-        merged: list[tuple[int, int]] = []
-        for a, b in sorted(zip(first, last)):
-            if merged and a <= merged[-1][1] + 1:
-                merged[-1] = (merged[-1][0], max(merged[-1][1], b))
-            else:
-                merged.append((a, b))
+        merged = _merged(zip(first, last))
         if merged == ranges:
-            return evened(sorted(known), high, shards, total)
+            break
         ranges = merged
+    # the bracket no longer closes over all capacities at once: try them one by one
+    while low < high:
+        middle = (low + high) // 2
+        cut = _greedy(cuts, middle, shards, total)
+        low, high = (low, middle) if cut else (middle + 1, high)
+    return evened(sorted(known.union(_greedy(cuts, high, shards, total) or [])), high, shards, total)
+
+
+def _merged(pairs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(pairs):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _greedy(cuts: DataFrame, capacity: int, shards: int, total: int) -> list[int] | None:
+    """Ends of the shards under one capacity, or None if it does not suffice.
+
+    For one capacity the ranges in which ends can be shrink with each digest,
+    down to single cuts.
+    """
+    ranges = [(1, total)]
+    while True:
+        digest, exact = _digest(cuts, ranges)
+        found = fill(digest, capacity, shards, total, False)
+        if found or exact or fill(digest, capacity, shards, total, True) is None:
+            return found
+        ranges = _merged(zip(_ends(digest, capacity, shards, total, False), _ends(digest, capacity, shards, total, True)))
 
 
 def evened(known: list[int], capacity: int, shards: int, total: int) -> list[int]:

@@ -359,6 +359,45 @@ def test_op8_sharding(result, docs):
     assert got.groupby("shard")["size"].sum().max() <= low
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_op8_sharding_smallest_capacity_with_a_coarse_digest(spark, monkeypatch, seed):
+    from palimpsest.llm import sharding
+
+    monkeypatch.setattr(sharding, "ENTRIES", 24)
+    rng = np.random.default_rng(seed)
+    cuts = np.cumsum(rng.integers(1, 4000, 300)).tolist()
+    frame = spark.createDataFrame([(int(c),) for c in cuts], "cut long").coalesce(1).cache()
+    ends = sharding.minimax_cuts(frame, cuts[-1], 6)
+
+    def needs(capacity):
+        at, n = 0, 0
+        while at < cuts[-1]:
+            fits = [c for c in cuts if at < c <= at + capacity]
+            if not fits:
+                return 99
+            at, n = fits[-1], n + 1
+        return n
+
+    low, high = 1, cuts[-1]
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if needs(middle) <= 6 else (middle + 1, high)
+    assert ends[-1] == cuts[-1] and len(ends) <= 6 and set(ends) <= set(cuts)
+    assert max(b - a for a, b in zip([0, *ends], ends)) == low
+
+
+def test_op9_langid_with_thousands_of_languages(spark, monkeypatch):
+    from palimpsest.llm import langid
+
+    monkeypatch.setattr(langid, "MOST_CELLS", 1 << 20)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(f"l{k:04d}", " ".join(alphabet[(k + j) % 26] + alphabet[(k // 26 + j) % 26] + alphabet[k % 26] for j in range(3))) for k in range(300)]
+    languages = langid.Languages.learn(spark.createDataFrame(rows, "lang string, text string"))
+    assert len(languages.names) == 300 and languages.table.size <= 1 << 20
+    labels, scores, _ = languages.infer([text for _, text in rows])
+    assert sum(a == b for a, (b, _) in zip(labels, rows)) >= 240 and max(scores) <= 1
+
+
 def test_op9_langid(result, docs):
     got = result("op9_langid").set_index("doc_id")
     assert len(got) == len(docs)
