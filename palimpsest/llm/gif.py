@@ -290,6 +290,13 @@ def histogram(frame: Frame) -> np.ndarray:
     return np.bincount(grey * BINS // 256, weights=counts, minlength=BINS).astype(np.int64)
 
 
+def shown(frame: Frame) -> np.ndarray:
+    """Pixels on the canvas after a frame by the brightness of their colour, in equal ranges; transparent ones do not count."""
+    seen = frame.canvas[frame.canvas[:, :, 3] > 0][:, :3]
+    grey = (seen.astype(np.uint32) @ np.array([299, 587, 114], np.uint32)) // 1000
+    return np.bincount(grey * BINS // 256, minlength=BINS).astype(np.int64)
+
+
 def samples(gif: Gif) -> bytes:
     """The stored bytes again."""
     return b"".join(f.indices.tobytes() for f in gif.frames)
@@ -305,8 +312,8 @@ def media(df: DataFrame, with_media: bool = False, id_col: str = "doc_id", text_
     """Per row: the text stored as a GIF, read back, and described.
 
     doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, feature (histogram of all frames); with ``with_media`` the file
-    and its frames (start and delay in hundredths of a second, height, histogram).
+    media_sha256, feature (histogram of all frames as composited); with
+    ``with_media`` the file and its frames (start and delay in hundredths of a second, height, histogram).
     """
     arrow_batches(df.sparkSession)
     frame_type = pa.struct([("start", pa.int64()), ("delay", pa.int64()), ("height", pa.int64()), ("histogram", pa.list_(pa.int64()))])
@@ -319,9 +326,9 @@ def media(df: DataFrame, with_media: bool = False, id_col: str = "doc_id", text_
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 n_bytes, payload = payload_of(text)
                 stored = write_gif(payload)
-                gif = read_gif(stored, composite=False)
+                gif = read_gif(stored)
                 back = samples(gif)
-                bins = [histogram(f) for f in gif.frames]
+                bins = [shown(f) for f in gif.frames]
                 row = [doc_id, n_bytes, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), ",".join(map(str, sum(bins).tolist()))]
                 if with_media:
                     row += [stored, [{"start": f.start, "delay": f.delay, "height": f.height, "histogram": b.tolist()} for f, b in zip(gif.frames, bins)]]
@@ -330,3 +337,35 @@ def media(df: DataFrame, with_media: bool = False, id_col: str = "doc_id", text_
 
     columns = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return texts_of(df, id_col, text_col).mapInArrow(run, columns + ", media binary, frames array<struct<start:long,delay:long,height:long,histogram:array<long>>>" * with_media)
+
+
+_FRAMES = "array<struct<start:long,delay:long,disposal:int,left:int,top:int,width:int,height:int,histogram:array<long>,canvas_sha256:string>>"
+
+
+def frames(df: DataFrame, id_col: str = "doc_id", gif_col: str = "media") -> DataFrame:
+    """Per row of a column of GIF files: doc_id, width, height, and its timed frames as composited.
+
+    A frame has its time, disposal and rectangle, the histogram of what is then
+    on the canvas, and the digest of the canvas (RGBA).  A null or broken file
+    has null frames.
+    """
+    arrow_batches(df.sparkSession, 100)
+    names = ("start", "delay", "disposal", "left", "top", "width", "height")
+    kind = pa.struct([(n, pa.int64() if n in ("start", "delay") else pa.int32()) for n in names] + [("histogram", pa.list_(pa.int64())), ("canvas_sha256", pa.string())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "media", 2_000_000):
+            rows = []
+            for raw in batch.column(1).to_pylist():
+                try:
+                    gif = read_gif(raw)
+                    rows.append((gif.width, gif.height, [{n: getattr(f, n) for n in names} | {"histogram": shown(f).tolist(), "canvas_sha256": hashlib.sha256(f.canvas.tobytes()).hexdigest()} for f in gif.frames]))
+                except (TypeError, ValueError, IndexError, struct.error):
+                    rows.append((None, None, None))
+            columns = list(zip(*rows)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.list_(kind))))], ["doc_id", "width", "height", "frames"])
+
+    from pyspark.sql import functions as F
+
+    files = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(gif_col).cast("binary").alias("media"))
+    return files.mapInArrow(run, f"doc_id long, width int, height int, frames {_FRAMES}")
