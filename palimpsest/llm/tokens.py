@@ -1,7 +1,8 @@
 """Token ids of words, and a binary file format for them.
 
 ``WordEncoder`` applies a tokenizer whose pieces never cross white space.  A
-text is cut at spaces and line ends; each distinct chunk is encoded once.
+text is cut at spaces and line ends, a chunk into a word and the signs after it
+where the tokenizer cuts there too; each distinct part is encoded once.
 
 The format ranks ids by frequency (commonest first) and stores ranks in one to
 four whole bytes.  Lengths stand apart from the values, four of them to a
@@ -14,6 +15,7 @@ comes first, repeated doc_ids are kept, in an order fixed by their content.
 from __future__ import annotations
 
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -40,6 +42,8 @@ class WordEncoder:
     LONGEST = 64
     #: Characters one of which stands alone between chunks that lack it; its id marks where they end.
     MARKS = "~^`|@=_+*#$%&"
+    #: Signs that may end a chunk; a word is encoded once for all the signs that follow it.
+    SIGNS = ".,;:!?\"()[]{}<>|/#$%&*"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -51,6 +55,18 @@ class WordEncoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.marks = {c: int(self._ids(c)[0]) for c in self.MARKS if len(self._ids(c)) == 1}
+        # what this tokenizer does with words and signs is asked of it
+        normal = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else str
+        pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str if self.tokenizer.pre_tokenizer else lambda text: [(text, (0, len(text)))]
+        alone = all(normal(f"a{c}") in (f"a{c}", f"A{c}") and [at for _, at in pieces(f"a{c}{d}")] == [(0, 1), (1, 3)] for c in self.SIGNS for d in self.SIGNS)
+        self.signs = self.SIGNS if alone else ""
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        self.lowers = normal(letters.upper()) == letters
+        # ids that end a word, if the tokenizer has such
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = np.zeros(size, bool)
+        if suffix:
+            self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
@@ -72,43 +88,79 @@ class WordEncoder:
         ends = np.concatenate((cut, [len(ids)])) * width
         return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
 
-    def _ids_of(self, chunks: list[str]) -> list[bytes]:
-        """Ids of distinct chunks; those seen lately are known."""
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of many words of letters by one call, cut after the ids that end a word.
+
+        A word has one such id at least, so if there are as many of them as words each has one.
+        """
+        if not words:
+            return []
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return self._split(words)
+        ends = (ends * self.dtype.itemsize).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+
+    def _ids_of(self, parts: list[str]) -> list[bytes]:
+        """Ids of words, signs and other chunks; those seen lately are known."""
         young, old = self.young, self.old
-        out = list(map(young.get, chunks))
+        out = list(map(young.get, parts))
         missing = [k for k, value in enumerate(out) if value is None]
-        fresh = []
-        for k in missing:
-            chunk = chunks[k]
-            value = old.get(chunk)
-            if value is None:
-                fresh.append(k)
+        words, others = [], []
+        for k, value in zip(missing, [old.get(parts[k]) for k in missing]):
+            if value is not None:
+                out[k] = young[parts[k]] = value
+            elif parts[k].isalpha():
+                words.append(k)
             else:
-                out[k] = young[chunk] = value
-        for k, value in zip(fresh, self._split([chunks[k] for k in fresh])):
-            out[k] = value
-            if len(chunks[k]) <= self.LONGEST:
-                young[chunks[k]] = value
+                others.append(k)
+        for fresh, call in ((words, self._words), (others, self._split)):
+            chunks = [parts[k] for k in fresh]
+            for k, chunk, value in zip(fresh, chunks, call(chunks)):
+                out[k] = value
+                if len(chunk) <= self.LONGEST:
+                    young[chunk] = value
         if len(young) > self.KEPT:
             self.old, self.young = young, {}
         return out
 
+    def _parted(self, chunks: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Words in lower case and the signs after them; a chunk that is no such word stays whole, without signs."""
+        words = pa.compute.utf8_rtrim(chunks, self.signs) if self.signs else chunks
+        plain = pa.compute.utf8_is_alpha(words).to_numpy(zero_copy_only=False)
+        # letters that become a letter and a mark would join the signs
+        split = [c for c in set(raw_text(words)) if c.isalpha() and not unicodedata.normalize("NFC", c).lower().isalpha()]
+        if split:
+            plain &= ~pa.compute.match_substring_regex(words, f"[{''.join(split)}]").to_numpy(zero_copy_only=False)
+        words = pa.compute.if_else(pa.array(plain), pa.compute.ascii_lower(words) if self.lowers else words, chunks)
+        edges = np.frombuffer(chunks.buffers()[1], np.int64)[chunks.offset : chunks.offset + len(chunks) + 1]
+        raw = np.frombuffer(chunks.buffers()[2] or b"", np.uint8)
+        sizes = pa.compute.binary_length(words).to_numpy(zero_copy_only=False)
+        rest = np.diff(edges) - sizes
+        ends = np.cumsum(rest)
+        signs = raw[np.repeat(edges[:-1] + sizes - (ends - rest), rest) + np.arange(rest.sum())]
+        offsets = np.concatenate(([0], ends)).astype(np.int64)
+        return words, pa.LargeStringArray.from_buffers(len(chunks), pa.py_buffer(offsets), pa.py_buffer(signs))
+
+    def _distinct(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct chunks, one after the other, and how many each has."""
+        words, signs = (part.dictionary_encode() for part in self._parted(chunks))
+        known = self._ids_of(words.dictionary.to_pylist() + signs.dictionary.to_pylist())
+        lengths = np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize
+        which = np.stack([words.indices.to_numpy(), signs.indices.to_numpy() + len(words.dictionary)], axis=1)
+        flat = _gathered(np.frombuffer(b"".join(known), self.dtype), lengths, which.reshape(-1))
+        return flat, lengths[which].sum(axis=1)
+
     def encode(self, texts: list[str | None], end: int | None = None) -> list[np.ndarray]:
         """Ids of each text, ``end`` last if there is one."""
         cut = pa.compute.split_pattern(pa.compute.replace_substring(pa.array([t or "" for t in texts], pa.large_string()), "\n", " "), " ")
         coded = cut.values.dictionary_encode()
         place = coded.indices.to_numpy()
-        known = self._ids_of(coded.dictionary.to_pylist())
-        ids = np.frombuffer(b"".join(known), self.dtype)
-        lengths = np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize
-        starts = np.cumsum(lengths) - lengths
-        # where each chunk's ids go, and where they come from
-        n = lengths[place]
-        ends = np.cumsum(n)
-        source = np.repeat(starts[place] - (ends - n), n)
-        source += np.arange(len(source))
-        flat = ids[source]
-        edges = np.concatenate(([0], ends))[np.asarray(cut.offsets)]
+        ids, lengths = self._distinct(coded.dictionary)
+        flat = _gathered(ids, lengths, place)
+        edges = np.concatenate(([0], np.cumsum(lengths[place])))[np.asarray(cut.offsets)]
         if end is None:
             return [flat[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
         flat = np.insert(flat, edges[1:], end)
@@ -116,6 +168,20 @@ class WordEncoder:
         return [flat[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
 
 
+def raw_text(column: pa.Array) -> str:
+    """All texts of a column without gaps or nulls, one after the other."""
+    edges = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return bytes(memoryview(column.buffers()[2] or b"")[edges[0] : edges[-1]]).decode()
+
+
+def _gathered(flat: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Runs of ``flat``, which has one of each length after the other, in the order of ``which``."""
+    n = lengths[which]
+    source = np.repeat((np.cumsum(lengths) - lengths)[which] - (np.cumsum(n) - n), n)
+    source += np.arange(len(source))
+    return flat[source]
+
+
 def encoder(path: str) -> WordEncoder:
     """One encoder in each Python process; its kept chunks serve later tasks."""
     return kept(("words", path), lambda: WordEncoder(path))
@@ -127,7 +193,7 @@ def encode_texts(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path)
-        for batch in slices(batches, "text", 3_000_000):
+        for batch in slices(batches, "text", 6_000_000):
             ids = words.encode(batch.column("text").to_pylist(), end_id)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, ids), pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "n_tokens", "ids"])
 

@@ -52,6 +52,19 @@ def test_op1_token_files(result, word_ids):
         start += len(ids)
 
 
+def test_words_with_awkward_ends():
+    import random
+
+    from palimpsest.llm.tokens import WordEncoder
+
+    encoder = WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    units = ["a", "Z", "é", "É", "e\u0301", "İ", "Σ", "ß", "\u0958", "\ufb1d", "가", "\u1100\u1161", "1", "½", "ª", ".", ",", "!", "(", ")", "<|endoftext|>", "<|ENDOFTEXT|>", "<", "|", ">", "'s", "'", "’", "#", "*", " ", "\u00a0", "\n", "\t", "\0", "\u0338", "😀", "~", "^", "_", "the", "Word"]
+    draw = random.Random(7)
+    texts = ["".join(draw.choices(units, k=draw.randint(0, 60))) for _ in range(3000)] + [None, "", " "]
+    got = [row.tolist() for at in range(0, len(texts), 100) for row in encoder.encode(texts[at : at + 100], 2)]
+    assert got == [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+
+
 def test_op2_byte_bpe(result, docs):
     import tiktoken
 
