@@ -160,3 +160,44 @@ def rendered(comments: DataFrame) -> DataFrame:
     body = F.when(state.isNotNull(), F.concat(F.lit("("), state, F.lit(")"))).otherwise(F.concat(head, F.lit(": "), F.coalesce("article", F.lit(""))))
     indent = (30 * (F.col("level") - 1)).cast("string")
     return comments.where(~is_more() & ~is_placeholder()).select("page_id", "thread", F.concat(F.lit('<div style="margin-left: '), indent, F.lit('px">'), body, F.lit("</div>")).alias("html"))
+
+
+def expanded(comments: DataFrame, responses: DataFrame, rounds: int = 1000) -> DataFrame:
+    """Threads after all their expansions: page_id, thread, parent, level, loaded, uname, article, state.
+
+    ``responses``: page_id, ``request`` (the thread that was asked for) and the columns of a thread table.
+    In each round every page that still has a comment to load takes the response to its first one; a page
+    whose request has no response stays as it is (``state`` is ``incomplete``).  A comment that was asked
+    for is not asked for again.  Rounds are bounded by the longest chain of requests of one page.
+    """
+    from palimpsest.shared import settled
+
+    columns = ["page_id", "pos", "thread", "parent", "level", "type", "loaded", "uname", "ctime", "subject", "article", "leafclass"]
+    known = settled(comments.select(*columns).withColumn("pos", F.col("pos").cast("long")))
+    asked = settled(known.select("page_id", F.col("thread").alias("asked")).limit(0))
+    stuck = settled(known.select("page_id").limit(0))
+    answers = responses.select(F.col("request").alias("thread"), *[F.col(c).alias(f"_{c}") for c in columns if c != "page_id"], "page_id")
+    for step in range(1, rounds + 1):
+        wanted = tree(known).where(should_load(F.col("expand"))).select("page_id", "thread")
+        left = wanted.join(asked.withColumnRenamed("asked", "thread"), ["page_id", "thread"], "left_anti").join(stuck, "page_id", "left_anti")
+        request = settled(in_order(known).join(left, ["page_id", "thread"]).groupBy("page_id").agg(F.min_by("thread", "place").alias("thread")))
+        if request.isEmpty():
+            break
+        got = settled(request.join(answers, ["page_id", "thread"]))
+        fresh = got.select("page_id", *[F.col(f"_{c}").alias(c) for c in columns if c != "page_id"])
+        stuck = settled(stuck.unionByName(request.join(got.select("page_id").distinct(), "page_id", "left_anti").select("page_id")))
+        done = request.join(stuck, "page_id", "left_anti")
+        asked = settled(asked.unionByName(done.select("page_id", F.col("thread").alias("asked"))))
+        # a new row comes after all rows known so far; rows that say "more" below the loaded comment are used up
+        place = fresh.where(~is_more()).groupBy("page_id", "thread").agg(F.min("pos").alias("_p"))
+        before = known.where(~is_more()).groupBy("page_id", "thread").agg(F.min("pos").alias("_q"))
+        merged = merge(known, fresh)
+        bad = F.when(F.col("violation").isNotNull(), F.raise_error(F.concat(F.col("violation"), F.lit(" "), F.col("thread"))).cast("long"))
+        own = merged.join(before, ["page_id", "thread"], "left").join(place, ["page_id", "thread"], "left")
+        own = own.withColumn("pos", F.coalesce(bad, F.col("_q"), F.lit(step) * F.lit(1_000_000) + F.col("_p"))).withColumn("type", F.lit(None).cast("string")).select(*columns)
+        used = done.select("page_id", F.col("thread").alias("parent"))
+        more = known.where(is_more()).join(used, ["page_id", "parent"], "left_anti").unionByName(fresh.where(is_more()).withColumn("pos", F.col("pos").cast("long")).join(used, ["page_id", "parent"], "left_anti"), allowMissingColumns=True)
+        known = settled(own.unionByName(more.select(*columns)))
+    else:
+        raise ValueError(f"more than {rounds} expansions of one page")
+    return known.where(~is_more() & ~is_placeholder()).join(stuck.withColumn("state", F.lit("incomplete")), "page_id", "left").withColumn("state", F.coalesce("state", F.lit("complete"))).select("page_id", "thread", "parent", "level", "loaded", "uname", "article", "state")

@@ -7,10 +7,12 @@ before a lookup and put back after it.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions import codec, paths, redirects
+from palimpsest.functions import codec, mime, paths, redirects
 
 
 def bare(href: Column) -> Column:
@@ -187,3 +189,28 @@ def external_links(links: DataFrame, sites: list[str]) -> DataFrame:
         own |= (host == site) | host.endswith(f".{site}")
     rest = F.substr(cut, F.length(host) + 1)
     return links.where(F.col("href").rlike("(?i)^https?://") & ~own).select(F.concat(host, rest).alias("address")).distinct()
+
+
+def page_links(links: DataFrame, user: str, mangled: str, site: str, pages: DataFrame, reposts: DataFrame) -> DataFrame:
+    """Links (page, pos, href) to a user's numbered posts, with the stored file: a page before a repost.
+
+    The address may have either protocol or none, and name the user by path or by host, in any case.
+    ``pages`` and ``reposts`` have relpath, below their own folders.
+    """
+    bases = "|".join(re.escape(base.lower()) for name in dict.fromkeys((user, mangled)) for base in (f"users.{site}/{name}/", f"{name}.{site}/"))
+    name = F.regexp_extract(F.lower("href"), f"^(?:https?://)?(?:{bases})([0-9]+\\.html)$", 1)
+    stored = [df.select(F.regexp_extract("relpath", "([^/]+)$", 1).alias("name"), F.concat(F.lit(f"../../{folder}/"), F.col("relpath")).alias("local"), F.lit(rank).alias("rank")) for rank, (folder, df) in enumerate((("pages", pages), ("reposts", reposts)))]
+    first = stored[0].unionByName(stored[1]).groupBy("name").agg(F.min_by("local", F.struct("rank", "local")).alias("new"))
+    return links.withColumn("name", name).where("name <> ''").join(first, "name").select("page", "pos", F.col("href").alias("old"), "new")
+
+
+def content_types(detected: DataFrame, told: DataFrame) -> DataFrame:
+    """Extension of each file by its contents (relpath, ext): what a table tells (relpath, mime) comes before what was found."""
+    own = told.select(F.lower("relpath").alias("key"), mime.columns.extension_of(F.col("mime")).alias("_told"))
+    return detected.withColumn("key", F.lower("relpath")).join(own, "key", "left").select("key", F.coalesce(F.nullif("_told", F.lit("")), "ext").alias("ext"))
+
+
+def scheduled_deletes(gone: DataFrame, files: DataFrame) -> DataFrame:
+    """Stored spelling of each file that goes; one that is not stored is an error."""
+    hit = gone.select(F.lower("relpath").alias("key")).distinct().join(spelled(files), "key", "left")
+    return hit.select("key", F.coalesce("actual", F.raise_error(F.concat(F.lit("no such file: "), F.col("key"))).cast("string")).alias("actual"))

@@ -167,3 +167,124 @@ def frames(parsed: DataFrame, keys: list[str]) -> DataFrame:
     found = parsed.select(*keys, F.explode(html.elements(F.col("nodes"), "iframe")).alias("n"))
     src = html.attr(F.col("n"), "src")
     return found.select(*keys, F.col("n.pos").alias("pos"), src.alias("src"), embed(src).alias("target"))
+
+
+# ------------------------------------------------------- other styles and pagers
+
+
+def _under(tree: list[dict], tops: set[int]) -> set[int]:
+    found = set(tops)
+    for n in tree:
+        if n["parent"] in found:
+            found.add(n["pos"])
+    return found
+
+
+def _above(tree: list[dict], at: int) -> list[int]:
+    parent, path = {n["pos"]: n["parent"] for n in tree}, []
+    while at > 0:
+        at = parent[at]
+        path.append(at)
+    return path
+
+
+def _one(found: list[dict], what: str) -> int:
+    if len(found) != 1:
+        raise ValueError(f"{what}: {len(found)}")
+    return found[0]["pos"]
+
+
+def _value(n: dict, name: str) -> str | None:
+    return dict(n["attrs"] or {}).get(name)
+
+
+#: The main block of a page in this style, and what is removed by id, class and pair of classes.
+PRIMARY = "primary"
+PRIMARY_IDS = ("header", "footer", "secondary", "tertiary", "lj_controlstrip")
+PRIMARY_CLASSES = ({"footer"}, {"bottomcomment"}, {"comment-pages", "toppages"}, {"comment-pages", "bottompages"})
+
+
+def _primary_only(tree: list[dict]) -> list[dict]:
+    divs = [n for n in tree if n["tag"] == "div"]
+    main = _one([n for n in divs if _value(n, "id") == PRIMARY], "primary blocks")
+    near = _under(tree, {main}) | set(_above(tree, main))
+    gone = {n["pos"] for n in tree if n["tag"] in ("script", "noscript")}
+    for n in divs:
+        own = set((_value(n, "class") or "").split())
+        if n["pos"] not in near or _value(n, "id") in PRIMARY_IDS or any(names <= own for names in PRIMARY_CLASSES):
+            gone.add(n["pos"])
+    gone = _under(tree, gone)
+    return [n for n in tree if n["pos"] not in gone]
+
+
+def primary_only(parsed: DataFrame) -> DataFrame:
+    """Pages with a ``primary`` block: other blocks, pagers and scripts removed; none or two of them is an error."""
+    return html.transformed(parsed, _primary_only)
+
+
+def _around_anchor(tree: list[dict]) -> list[dict]:
+    marks = [n for n in tree if n["tag"] == "img" and _value(n, "alt") is None and (_value(n, "width"), _value(n, "height")) == ("1", "3")]
+    anchor = _one(marks, "article anchors")
+    path = _above(tree, anchor)
+    tags = {n["pos"]: n["tag"] for n in tree}
+    cell = next((at for at in path if tags[at] == "td"), None)
+    near = set(path) | (_under(tree, {cell}) if cell is not None else set())
+    gone = _under(tree, {n["pos"] for n in tree if n["tag"] in ("script", "noscript") or n["tag"] in ("td", "tr", "table") and n["pos"] not in near})
+    return [n for n in tree if n["pos"] not in gone]
+
+
+def around_anchor(parsed: DataFrame) -> DataFrame:
+    """Pages whose article has a 1 x 3 picture in it: only the tables around and inside its cell stay."""
+    return html.transformed(parsed, _around_anchor)
+
+
+def _spaced(said: Column) -> Column:
+    return F.trim(F.regexp_replace(said, "[\\s ]+", " "))
+
+
+def _without_notice(tree: list[dict]) -> list[dict]:
+    gone: set[int] = set()
+    for n in tree:
+        if n["tag"] == "p" and "b-bubble-alert" in (_value(n, "class") or "").replace(",", " ").split():
+            below = _under(tree, {n["pos"]})
+            said = " ".join("".join(x["text"] for x in tree if x["kind"] == "text" and x["pos"] in below).split())
+            if "This journal has been placed in memorial status" in said:
+                gone |= below
+    return [n for n in tree if n["pos"] not in gone]
+
+
+def without_memorial_notice(parsed: DataFrame) -> DataFrame:
+    """Pages without the notice that a journal is kept as a memorial."""
+    return html.transformed(parsed, _without_notice)
+
+
+def album_pages(tree: Column) -> Column:
+    """Number of pages by the pagers of an album's first page: 1 without one, an error unless all say the same ``1/N``."""
+    said = F.transform(html.with_class(tree, "b-pics-pager", "p"), lambda n: _spaced(html.text_of(tree, n["pos"])))
+    counts = F.array_distinct(F.transform(said, lambda t: F.regexp_extract(t, "^1/([1-9][0-9]{0,8})$", 1)))
+    sound = (F.size(counts) == 1) & ~F.array_contains(counts, "")
+    return F.when(F.size(counts) == 0, 1).when(sound, F.try_element_at(counts, F.lit(1)).try_cast("int")).otherwise(F.raise_error(F.lit("pagers differ or have another form")).cast("int"))
+
+
+def album_next(tree: Column) -> Column:
+    """Address of an album's next page; null without one, an error if there are several or it is not absolute."""
+    hrefs = F.array_distinct(F.transform(html.with_class(tree, "b-pics-pager-next", "a"), lambda n: F.coalesce(html.attr(n, "href"), F.lit(""))))
+    first = F.try_element_at(hrefs, F.lit(1))
+    return F.when(F.size(hrefs) == 0, None).when((F.size(hrefs) == 1) & first.rlike("(?i)^https?://"), first).otherwise(F.raise_error(F.lit("next pages differ or have another form")).cast("string"))
+
+
+def album_frames(parsed: DataFrame) -> DataFrame:
+    """Frames of albums (album, page, nodes) in the order of the merged page: the first, then the last down to the second.
+
+    Each later frame goes right after the first one.  ``text`` is what the frame says without pagers;
+    an album whose pages are not all there is an error.
+    """
+    nodes = F.col("nodes")
+    frame = F.element_at(html.only(html.with_class(nodes, "b-pics-inner", "div")), 1)
+    junk = F.concat(html.with_class(nodes, "b-pics-pager", "p"), F.when(F.col("page") > 1, html.with_class(nodes, "b-pics-bar", "div")).otherwise(F.filter(nodes, lambda n: F.lit(False))))
+    said = F.array_join(F.transform(F.filter(html.without(html.subtree(nodes, frame["pos"]), junk), lambda n: n["kind"] == "text"), lambda n: n["text"]), "")
+    rows = parsed.select("album", "page", said.alias("text"), F.when(F.col("page") == 1, album_pages(nodes)).alias("n"))
+    total = rows.groupBy("album").agg(F.max("n").alias("n"), F.countDistinct("page").alias("have"), F.max("page").alias("last"))
+    whole = F.when((F.col("n") == F.col("have")) & (F.col("n") == F.col("last")), F.col("n")).otherwise(F.raise_error(F.lit("pages of an album are missing")).cast("int"))
+    place = F.when(F.col("page") == 1, 1).otherwise(F.col("of") + 2 - F.col("page"))
+    return rows.drop("n").join(total.select("album", whole.alias("of")), "album").select("album", place.alias("place"), "page", "text")

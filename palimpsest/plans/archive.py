@@ -9,6 +9,7 @@ from palimpsest.functions import filters, mime
 from palimpsest.operators import comments, crawl, html, maps, pages, styles, tapes
 from palimpsest.plans.fixtures import Case, mapped, registered
 from palimpsest.sources import control, files
+from palimpsest.streaming import activity
 
 _MARKUP = [
     (1, "<a data-href=\"x\" href=\"y\">1</a><a href='q'>2</a><a href=bare>3</a><a href = \"s&amp;t\">4</a><!-- <a href=\"no\"> --><a href=\"#top\">5</a><a href=\"\">6</a><A HREF=Up>7</A>"),
@@ -74,6 +75,25 @@ def _files(text: str):
     return {"t": ("path string, text string", [("m.txt", text)])}
 
 
+_STYLED = {"t": ("page_id long, html string", [
+    (1, '<html><body><div id=header>h</div><div id=wrap><div id=primary>main<div class="footer x">f</div><div class="bottompages comment-pages">2</div><div>in</div></div><div id=side>s</div></div><script>x</script></body></html>'),
+    (2, '<html><body><table><tr><td>menu<td><img width=1 height=3><table><tr><td>in</table>text</table><table><tr><td>foot</table></body></html>'),
+    (3, '<body><p class="b-bubble-alert">This journal has  been placed in\nmemorial status.</p><p class="b-bubble-alert">other</p>x</body>'),
+])}
+_ALBUMS = {"t": ("album long, page int, html string", [
+    (1, 1, '<div class="b-pics-inner">one<p class="b-pics-pager"> 1/3 </p></div><p class="b-pics-pager">1/3</p><a class="b-pics-pager-next" href="http://a.org/2">n</a>'),
+    (1, 2, '<div class="b-pics-inner">two<div class="b-pics-bar">bar</div><p class="b-pics-pager">2/3</p></div>'),
+    (1, 3, '<div class="b-pics-inner">three</div>'),
+    (2, 1, '<div class="b-pics-inner">alone<div class="b-pics-bar">bar</div></div>'),
+])}
+_ANSWERS = ("request string, " + _THREAD, [
+    ("13", 1, 0, "13", "10", 2, None, True, "cat", "t", None, "late", None), ("13", 1, 1, "15", "13", 3, None, False, None, None, None, None, None), ("13", 1, 2, None, "13", 3, "more", None, None, None, None, None, None),
+    ("15", 1, 0, "15", "13", 3, None, True, "dan", "t", None, "deep", None), ("15", 1, 1, "17", "15", 4, None, True, "eve", "t", None, "deeper", None),
+    ("12", 1, 0, "12", None, 1, None, True, None, "t", None, "anon", None), ("12", 1, 1, "16", "12", 2, None, True, "fay", "t", None, "below", None),
+])
+_WAITING = (3, 0, "30", None, 1, None, True, "ann", "t", None, "x", None), (3, 1, "31", "30", 2, None, False, None, None, None, None, None)
+
+
 CASES = [
     Case("markup_links", lambda t: html.link_facts(t, ["page_id"]).select("page_id", "pos", "tag", "href"), _PAGES, ("page_id long, pos int, tag string, href string", [(1, 0, "a", "y"), (1, 1, "a", "q"), (1, 2, "a", "bare"), (1, 3, "a", "s&t"), (1, 6, "a", "Up"), (2, 0, "img", "i.png")])),
     Case("markup_selectors", _tags, _PAGES, ("page_id long, p int, li int, td int, one int, two_classes int, comments int, n_elements int", [(1, 0, 0, 0, 0, 0, 1, 7), (2, 2, 2, 0, 1, 1, 0, 8), (3, 1, 0, 1, 0, 0, 0, 9)])),
@@ -144,6 +164,21 @@ CASES = [
     Case("empty_directories", lambda d, t: files.empty_directories(d, t), {"d": ("relpath string", [("a",), ("a/b",), ("a/b/c",), ("e",)]), "t": ("relpath string", [("a/x.html",)])}, ("relpath string", [("a/b/c",), ("a/b",), ("e",)])),
     Case("content_policy", lambda t: t.select("id", mime.decision(*[F.col(c) for c in ("name_ext", "header_ext", "content_ext", "mime", "host", "path", "pre")]).alias("accepted")), {"t": ("id int, name_ext string, header_ext string, content_ext string, mime string, host string, path string, pre boolean", [(1, "css", "txt", None, None, "a.org", "/", False), (2, "txt", "html", "eml", "message/rfc822", "a.org", "/", False), (3, "TXT", None, "html", "text/html", "lib.ru", "/x", True), (4, "txt", None, "html", "text/html", "kulichki.com", "/other", True), (5, "jpg", "css", "css", None, "a.org", "/", False)])}, ("id int, accepted string", [(1, "css"), (2, "txt"), (3, "html"), (4, None), (5, None)])),
     Case("response_verdicts", lambda t: t.select("id", mime.verdict(F.col("code"), F.col("name_ext"), F.col("content_ext"), F.lit(None).cast("string")).alias("verdict"), mime.failure(F.col("code"), F.col("mime"), F.col("name_ext"), F.col("size")).alias("failure"), mime.repaired_name(F.lit("a/x.y"), F.col("name_ext"), F.col("content_ext")).alias("name")), {"t": ("id int, code int, name_ext string, content_ext string, mime string, size long", [(1, 200, "jpg", "jpeg", "image/jpeg", 9), (2, 200, "jpg", "html", "text/html; x", 9), (3, 404, "jpg", "html", "text/html", 9), (4, 429, "gif", "gif", "image/gif", 9), (5, 200, "php", "html", "text/html", 9), (6, 200, "gif", "gif", "image/gif", 0)])}, ("id int, verdict string, failure string, name string", [(1, "good", None, "a/x.y"), (2, "mismatch", "error page", "a/x.y.html"), (3, "reject", "status", "a/x.y.html"), (4, "reject", "later", "a/x.y"), (5, "good", None, "a/x.y.html"), (6, "good", "empty", "a/x.y")])),
+    Case("primary_blocks", lambda t: html.serialize(pages.primary_only(_parsed(t).where("page_id = 1"))), _STYLED, ("page_id long, html string", [(1, '<html><body><div id="wrap"><div id="primary">main<div>in</div></div></div></body></html>')])),
+    Case("anchored_articles", lambda t: html.serialize(pages.around_anchor(_parsed(t).where("page_id = 2"))), _STYLED, ("page_id long, html string", [(2, '<html><body><table><tr><td><img width="1" height="3"><table><tr><td>in</td></tr></table>text</td></tr></table></body></html>')])),
+    Case("memorial_notices", lambda t: html.serialize(pages.without_memorial_notice(_parsed(t).where("page_id = 3"))), _STYLED, ("page_id long, html string", [(3, '<body><p class="b-bubble-alert">other</p>x</body>')])),
+    Case("album_pagers", lambda t: _parsed(t).where("page = 1").select("album", pages.album_pages(F.col("nodes")).alias("n"), pages.album_next(F.col("nodes")).alias("next")), _ALBUMS, ("album long, n int, next string", [(1, 3, "http://a.org/2"), (2, 1, None)])),
+    Case("album_merges", lambda t: pages.album_frames(_parsed(t)), _ALBUMS, ("album long, place int, page int, text string", [(1, 1, 1, "one"), (1, 2, 3, "three"), (1, 3, 2, "two"), (2, 1, 1, "alonebar")])),
+    Case("comment_expansions", lambda t, r: comments.expanded(t, r), {"t": (_THREAD, [r for r in _ROWS if r[0] == 1] + list(_WAITING)), "r": _ANSWERS}, ("page_id long, thread string, parent string, level int, loaded boolean, uname string, article string, state string", [
+        (1, "10", None, 1, True, "ann", "hello", "complete"), (1, "11", "10", 2, True, "bob", "hi", "complete"), (1, "12", None, 1, True, None, "anon", "complete"), (1, "13", "10", 2, True, "cat", "late", "complete"), (1, "14", "11", 3, False, None, None, "complete"),
+        (1, "15", "13", 3, True, "dan", "deep", "complete"), (1, "16", "12", 2, True, "fay", "below", "complete"), (1, "17", "15", 4, True, "eve", "deeper", "complete"), (3, "30", None, 1, True, "ann", "x", "incomplete"), (3, "31", "30", 2, False, None, None, "incomplete"),
+    ])),
+    Case("profile_page_links", lambda t, p, r: maps.page_links(t, "a_b", "a-b", "site.com", p, r), {"t": ("page string, pos int, href string", [("x", 0, "http://A-B.site.com/12.html"), ("x", 1, "https://users.site.com/a_b/13.html"), ("x", 2, "a_b.site.com/14.html"), ("x", 3, "http://a-b.site.com/12.html?x"), ("x", 4, "http://c.site.com/12.html"), ("x", 5, "http://a-b.site.com/99.html")]), "p": ("relpath string", [("2001/02/12.html",), ("2001/03/14.html",)]), "r": ("relpath string", [("2001/02/12.html",), ("2001/02/13.html",)])}, ("page string, pos int, old string, new string", [("x", 0, "http://A-B.site.com/12.html", "../../pages/2001/02/12.html"), ("x", 1, "https://users.site.com/a_b/13.html", "../../reposts/2001/02/13.html"), ("x", 2, "a_b.site.com/14.html", "../../pages/2001/03/14.html")])),
+    Case("told_content_types", lambda d, t: maps.content_types(d, t), {"d": ("relpath string, ext string", [("A/x", "txt"), ("b", "png"), ("c", None), ("d", "gif")]), "t": ("relpath string, mime string", [("a/X", "image/jpeg"), ("b", "no/such"), ("c", "text/html")])}, ("key string, ext string", [("a/x", "jpg"), ("b", "png"), ("c", "html"), ("d", "gif")])),
+    Case("kept_map_rows", lambda m, g: maps.without_files(m, g), {"m": _MAP, "g": ("relpath string", [("LINKS/a.org/x.jpg",)])}, ("url string, relpath string", [("https://a.org/y", "links/a.org/Y"), ("http://b.org/z", "links/b.org/z")])),
+    Case("deleted_files", lambda g, f: maps.scheduled_deletes(g, f), {"g": ("relpath string", [("links/A.org/x.JPG",), ("links/a.org/x.jpg",)]), "f": _FILES}, ("key string, actual string", [("links/a.org/x.jpg", "links/a.org/x.jpg")])),
+    Case("request_rates", lambda e: activity.rates(e, 400_000, 90), {"e": ("ms long, kind string", [(90_000, "web-request"), (100_000, "web-request"), (160_000, "lj-page-request"), *[(220_000, "loaded-page")] * 50, (340_000, "web-request")])}, ("requests double, page_requests double, loaded_pages double, eta_min int", [(0.4, 0.2, 10.0, 9)])),
+    Case("rates_at_once", lambda e: activity.rates(e, 5, 90), {"e": ("ms long, kind string", [(5, "web-request"), (5, "lj-page-request")])}, ("requests double, page_requests double, loaded_pages double, eta_min int", [(0.0, 60000.0, 0.0, None)])),
 ]
 
 QUERIES, SQL = registered(CASES)

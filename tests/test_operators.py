@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import codec, mime, paths, redirects
-from palimpsest.operators import comments, crawl, html, maps, styles, tapes
+from palimpsest.operators import comments, crawl, html, maps, pages, styles, tapes
 from palimpsest.sources import control, files
 
 
@@ -145,3 +145,36 @@ def test_sniffed_types():
     assert mime.sniff(b"<?xml version='1.0'?><svg xmlns='x'>") == "image/svg+xml"
     assert mime.sniff(b"  <html><body>") == "text/html"
     assert mime.sniff(b"RIFF0000WEBPVP8 ") == "image/webp"
+
+
+def _tree(spark, source):
+    return html.parse(spark.createDataFrame([(1, 1, source)], "album long, page int, html string"))
+
+
+@pytest.mark.parametrize("source, column, message", [
+    ('<p class="b-pics-pager">1/3</p><p class="b-pics-pager">1/4</p>', "pages", "pagers differ"),
+    ('<p class="b-pics-pager">2/3</p>', "pages", "pagers differ"),
+    ('<a class="b-pics-pager-next" href="/x">n</a>', "next", "next pages differ"),
+])
+def test_pagers_refuse(spark, source, column, message):
+    made = {"pages": pages.album_pages, "next": pages.album_next}[column](F.col("nodes"))
+    with pytest.raises(Exception, match=message):
+        _tree(spark, source).select(made).collect()
+
+
+def test_albums_need_all_pages(spark):
+    with pytest.raises(Exception, match="pages of an album are missing"):
+        pages.album_frames(_tree(spark, '<div class="b-pics-inner"><p class="b-pics-pager">1/2</p></div>')).collect()
+
+
+def test_styles_need_one_mark(spark):
+    with pytest.raises(Exception, match="primary blocks: 0"):
+        pages.primary_only(_tree(spark, "<div>x</div>")).collect()
+    with pytest.raises(Exception, match="article anchors: 2"):
+        pages.around_anchor(_tree(spark, "<img width=1 height=3><img width=1 height=3>")).collect()
+
+
+def test_deletes_need_a_file(spark):
+    gone = spark.createDataFrame([("x",)], "relpath string")
+    with pytest.raises(Exception, match="no such file: x"):
+        maps.scheduled_deletes(gone, spark.createDataFrame([("y", False)], "relpath string, is_dir boolean")).collect()
