@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,8 @@ from palimpsest.shared import shared_dir
 
 #: Rows the JVM hands to Python at once; long texts make such a batch large.
 BATCH_ROWS = 1000
+#: Bits of the table that tells wanted ids from most others: so many for each id, within these bounds, and in a part of it.
+MARKS_EACH, LEAST_MARKS, MOST_MARKS, MARKS_PART = 16, 1 << 16, 1 << 27, 1 << 16
 
 
 def workspace(spark: SparkSession, name: str) -> str:
@@ -103,6 +106,42 @@ def texts_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def id_marks(ids: DataFrame) -> np.ndarray:
+    """A bit for each remainder that the ids of ``ids`` (doc_id long) leave when divided by the number of bits; MOST_MARKS bits at most reach the driver."""
+    marks = min(MOST_MARKS, max(LEAST_MARKS, 1 << (MARKS_EACH * ids.count()).bit_length()))
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            bits = batch.column("bit").to_numpy()
+            for part in np.unique(bits // MARKS_PART).tolist():
+                own = np.zeros(MARKS_PART, bool)
+                own[bits[bits // MARKS_PART == part] % MARKS_PART] = True
+                parts[part] = parts.get(part, 0) | np.packbits(own, bitorder="little")
+        for part, own in parts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["part", "bits"])
+
+    bits = ids.select(F.pmod("doc_id", F.lit(marks)).alias("bit"))
+    bits = bits.repartition(F.floor(F.col("bit") / MARKS_PART)).sortWithinPartitions("bit")
+    out = np.zeros((marks // MARKS_PART, MARKS_PART // 8), np.uint8)
+    for row in bits.mapInArrow(add, "part int, bits binary").collect():
+        out[row["part"]] |= np.frombuffer(row["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def marked(docs: DataFrame, id_col: str, marks: np.ndarray) -> DataFrame:
+    """The rows whose id has its mark: all wanted ones, and some that share a remainder."""
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
+
+    @F.arrow_udf("boolean")
+    def has_mark(ids: pa.Array) -> pa.Array:
+        bits = shared.value
+        rest = ids.fill_null(0).to_numpy() % (8 * len(bits))
+        return pa.array((bits[rest >> 3] >> (rest & 7).astype(np.uint8) & 1).astype(bool))
+
+    return docs.where(has_mark(F.col(id_col)))
+
+
 def filesystem(uri: str):
     """A pyarrow file system and the path in it, for files that executors write themselves."""
     from pyarrow import fs

@@ -198,6 +198,58 @@ def test_op4_quality_threshold_is_a_held_out_quantile(spark):
     assert got.threshold[got.lang == "en"].iloc[0] == pytest.approx(expected, rel=1e-3)
 
 
+def test_op4_quality_counts_every_trusted_document(spark, monkeypatch):
+    from palimpsest.llm import kneser_ney
+
+    n, seen, count = 70_000, [], kneser_ney.gram_counts
+    monkeypatch.setattr(kneser_ney, "gram_counts", lambda trusted: seen.append(count(trusted).where("lang like '*%'").groupBy().sum("n").first()[0]) or count(trusted))
+    docs = spark.range(2 * n).selectExpr("id as doc_id", "'en' as lang", "concat('w', id) as text")
+    _, limits = kneser_ney.learn(docs, docs.where("doc_id % 2 = 0").select("doc_id"))
+    assert seen == [sum(len(f"w{k}") for k in range(0, 2 * n, 2))]
+    assert limits.count() == 1
+
+
+def test_op4_quality_trusted_rows_are_exact(spark, monkeypatch):
+    """Null, repeated and negative ids, and ids that share a mark with a trusted one."""
+    from palimpsest.llm import common, kneser_ney
+
+    monkeypatch.setattr(common, "LEAST_MARKS", common.MARKS_PART)
+    monkeypatch.setattr(common, "MOST_MARKS", common.MARKS_PART)
+    step = common.MARKS_PART
+    rows = [(3, "a"), (3, "b"), (3 + step, "c"), (3 - step, "d"), (-1, "e"), (step - 1, "f"), (None, "g"), (5, ""), (5, None), (6, "h")]
+    docs = spark.createDataFrame([(i, "en", t) for i, t in rows], "doc_id long, lang string, text string")
+    ids = spark.createDataFrame([(3,), (3,), (-1,), (5,), (None,), (77,)], "doc_id long")
+    assert sorted(r["text"] for r in kneser_ney.trusted_rows(docs, ids).collect()) == ["a", "b", "e"]
+    assert not kneser_ney.trusted_rows(docs, ids.limit(0)).collect()
+
+
+def test_op4_quality_quantiles_are_exact(spark):
+    from palimpsest.llm import kneser_ney
+
+    values = np.random.default_rng(1).lognormal(1, 1, 30_000)
+    rows = [(f"n{size}", float(v)) for size in (1, 2, 100, 101, 29_000) for v in values[-size:]] + [("same", 2.0)] * 500
+    frame = spark.createDataFrame(rows, "name string, value double").selectExpr("name", "ln(value) as level", "value")
+    got = {r["name"]: r["value"] for r in kneser_ney.quantiles(frame, 0.99).collect()}
+    for name, own in pd.DataFrame(rows, columns=["name", "value"]).groupby("name"):
+        assert got.pop(name) == np.sort(own.value)[int(np.ceil(0.99 * len(own))) - 1], name
+    assert not got
+
+
+def test_op4_quality_blocks_looked_up_together(spark, docs, monkeypatch):
+    """A model larger than what is kept gives the same scores."""
+    from palimpsest.llm import kneser_ney
+
+    frame = spark.createDataFrame([(int(i), lang or "en", t) for i, t, lang in docs[["doc_id", "text", "lang"]].astype(object).itertuples(index=False)], "doc_id long, lang string, text string")
+    ids = frame.where("doc_id % 3 = 0").select("doc_id")
+    one = kneser_ney.classify(frame, ids).toPandas().sort_values("doc_id")
+    monkeypatch.setattr(kneser_ney, "KEPT_BYTES", 1000)
+    monkeypatch.setattr(kneser_ney, "BLOCK_BYTES", 50_000)
+    blocks = kneser_ney.classify(frame, ids)
+    kept = sorted(r["doc_id"] for r in kneser_ney.keep(frame, ids).collect())
+    pd.testing.assert_frame_equal(one.reset_index(drop=True), blocks.toPandas().sort_values("doc_id").reset_index(drop=True))
+    assert kept == one.doc_id[one.kept].tolist()
+
+
 def test_op4_quality_covers_all_rows(result, docs):
     got = result("op4_quality")
     assert sorted(got.doc_id) == sorted(docs.doc_id)
