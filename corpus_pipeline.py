@@ -17,6 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from palimpsest.llm import common, jaccard, kneser_ney, packing, rules
 
 
+#: Chunks that packing's encoder keeps, and bytes of text that it takes at once: the executors still hold memory of the stages before.
+PACKING_CHUNKS, PACKING_BLOCK = 60_000, 1_000_000
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule of the cascade rejects."""
     return rules.keep(docs)
@@ -35,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The remaining documents in windows of 4096 tokens, with their token ids."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, capacity=4096, with_ids=True)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, capacity=4096, with_ids=True, chunks=PACKING_CHUNKS, block=PACKING_BLOCK)
 
 
 STAGES = [

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from palimpsest.llm.common import arrow_batches, slices, texts_of
-from palimpsest.llm.tokens import encoder
+from palimpsest.llm.tokens import WordEncoder, encoder
 
 CAPACITY = 4096
 #: Windows of a group.
@@ -92,8 +92,11 @@ def _rows(pieces: list[tuple], window: Iterable[int], windows: int, first: int)
     return rows
 
 
-def pack(df: DataFrame, path: str, end_id: int = 2, capacity: int = CAPACITY, with_ids: bool = False, windows: int = WINDOWS, slack: int = SLACK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; ``ids`` too if asked for."""
+def pack(df: DataFrame, path: str, end_id: int = 2, capacity: int = CAPACITY, with_ids: bool = False, windows: int = WINDOWS, slack: int = SLACK, id_col: str = "doc_id", text_col: str = "text", chunks: int = WordEncoder.KEPT, block: int = 2_000_000) -> DataFrame:
+    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; ``ids`` too if asked for.
+
+    ``chunks`` kept by the encoder and bytes of a ``block`` bound a task's memory; they do not change the result.
+    """
     arrow_batches(df.sparkSession)
     slack = min(slack, capacity - 1)
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
@@ -103,12 +106,12 @@ def pack(df: DataFrame, path: str, end_id: int = 2, capacity: int = CAPACITY, wi
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(path)
+        words = encoder(path, chunks)
         sequence = TaskContext.get().partitionId() << 33
         most = max(windows * (capacity - slack), capacity)
         group: list[tuple] = []
         room = most
-        for batch in slices(batches, "text", 2_000_000):
+        for batch in slices(batches, "text", block):
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.encode(batch.column("text").to_pylist(), end_id)):
                 cut = (len(ids) - 1) // capacity * capacity  # a rest of one token at least is left
                 for start in range(0, cut, capacity):

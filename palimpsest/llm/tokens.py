@@ -45,9 +45,10 @@ class WordEncoder:
     #: Signs that may end a chunk; a word is encoded once for all the signs that follow it.
     SIGNS = ".,;:!?\"()[]{}<>|/#$%&*"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = KEPT):
         from tokenizers import Tokenizer
 
+        self.most = most
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
@@ -122,7 +123,7 @@ class WordEncoder:
                 out[k] = value
                 if len(chunk) <= self.LONGEST:
                     young[chunk] = value
-        if len(young) > self.KEPT:
+        if len(young) > self.most:
             self.old, self.young = young, {}
         return out
 
@@ -182,9 +183,9 @@ def _gathered(flat: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> np.nd
     return flat[source]
 
 
-def encoder(path: str) -> WordEncoder:
-    """One encoder in each Python process; its kept chunks serve later tasks."""
-    return kept(("words", path), lambda: WordEncoder(path))
+def encoder(path: str, most: int = WordEncoder.KEPT) -> WordEncoder:
+    """One encoder in each Python process; its kept chunks, ``most`` in each generation, serve later tasks."""
+    return kept(("words", path, most), lambda: WordEncoder(path, most))
 
 
 def encode_texts(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
