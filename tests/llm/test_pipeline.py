@@ -1,7 +1,7 @@
 """The pipeline, stage by stage, against the operators and brute force."""
 
 import corpus_pipeline
-from palimpsest.llm import rules
+from palimpsest.llm import kneser_ney, rules
 
 from .test_queries import components, shingles
 
@@ -38,6 +38,21 @@ def test_run_packs_every_token_once(spark, folder):
     assert rows.groupby("sequence_id").length.sum().max() <= 4096
 
 
+def test_quality_classifier_counts_every_trusted_document(spark, tmp_path, monkeypatch):
+    n, seen, count = 70_000, [], kneser_ney.gram_counts
+    monkeypatch.setattr(kneser_ney, "gram_counts", lambda trusted: seen.append(count(trusted).where("lang like '*%'").groupBy().sum("n").first()[0]) or count(trusted))
+    spark.range(n).selectExpr("id as doc_id", "1 as quality", "0 as toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.range(n).selectExpr("id as doc_id", "'en' as lang", "concat('w', id) as text")
+    corpus_pipeline.quality_classifier(spark, docs, str(tmp_path))
+    assert seen == [sum(len(f"w{k}") for k in range(n))]
+
+
+def test_order_of_rules_changes_no_verdict(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = sorted(str(r["doc_id"]) for r in corpus_pipeline.quality_rules(spark, docs, folder).collect())
+    assert kept == sorted(str(r["doc_id"]) for r in rules.keep(docs, rules.RULES[::-1]).collect())
+
+
 def test_empty_tables(spark, empty_folder):
     rows = corpus_pipeline.run(spark, empty_folder)
     assert rows.columns[:2] == ["doc_id", "start"] and not rows.collect()
