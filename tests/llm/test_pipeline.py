@@ -1,7 +1,9 @@
 """The pipeline, stage by stage, against the operators and brute force."""
 
+import public_tokenizers
+
 import corpus_pipeline
-from palimpsest.llm import kneser_ney, rules
+from palimpsest.llm import kneser_ney, packing, rules, tokens
 
 from .test_queries import components, shingles
 
@@ -53,6 +55,22 @@ def test_order_of_rules_changes_no_verdict(spark, folder):
     assert kept == sorted(str(r["doc_id"]) for r in rules.keep(docs, rules.RULES[::-1]).collect())
 
 
+def test_packing_bounds_the_chunks_it_keeps(spark, monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [" ".join(f"{chr(97 + k % 26)}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(300)) for k in range(40)]
+    few, many = tokens.WordEncoder(path, 500), tokens.WordEncoder(path)
+    for k in range(0, len(texts), 2):
+        for a, b in zip(few.encode(texts[k : k + 2], 2), many.encode(texts[k : k + 2], 2)):
+            assert a.tolist() == b.tolist()
+        assert max(len(few.young), len(few.old)) <= 500 + 600
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    asked, pack = [], packing.pack
+    monkeypatch.setattr(packing, "pack", lambda *args, **named: asked.append(named) or pack(*args, **named))
+    rows = corpus_pipeline.pack_windows(spark, docs, "").collect()
+    assert asked[0]["chunks"] < tokens.WordEncoder.KEPT and asked[0]["block"] < 2_000_000
+    assert rows == pack(docs, path, end_id=2, capacity=4096, with_ids=True).collect()
+
+
 def test_empty_tables(spark, empty_folder):
     rows = corpus_pipeline.run(spark, empty_folder)
     assert rows.columns[:2] == ["doc_id", "start"] and not rows.collect()
