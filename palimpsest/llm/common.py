@@ -2,7 +2,7 @@
 
 Every intermediate result goes to the folder the cluster names in
 ``spark.checkpoint.dir``, so that any executor can read it again after
-another one is lost.
+another one is lost.  Once it is there, the shuffle files it was made from go.
 """
 
 from __future__ import annotations
@@ -27,6 +27,10 @@ BATCH_ROWS = 1000
 MARKS_EACH, LEAST_MARKS, MOST_MARKS, MARKS_PART = 16, 1 << 16, 1 << 27, 1 << 16
 
 
+#: Whether Spark deletes the shuffle files of a query when it has run.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def workspace(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_dir(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
@@ -36,7 +40,15 @@ def stored(df: DataFrame, name: str, codec: str = "snappy") -> tuple[DataFrame,
     """The rows of ``df``, stored in the shared folder and read again, and where they are, for ``release``."""
     spark = df.sparkSession
     path = workspace(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # else they stay until the driver happens to collect its garbage
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -51,6 +63,28 @@ def release(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+class Tables:
+    """Stored intermediate tables that go together, and where they are."""
+
+    def __init__(self, spark: SparkSession, prefix: str):
+        self.spark, self.prefix, self.paths = spark, prefix, []
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        df, path = stored(df, f"{self.prefix}-{name}")
+        self.paths.append(path)
+        return df
+
+    def take(self, other: Tables) -> None:
+        """The tables of ``other`` go with these."""
+        self.paths += other.paths
+        other.paths = []
+
+    def release(self) -> None:
+        for path in self.paths:
+            release(self.spark, path)
+        self.paths = []
+
+
 _kept: dict[Any, Any] = {}
 
 

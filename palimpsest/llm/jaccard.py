@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import arrow_batches, kept, release, slices, stored, texts_of
+from palimpsest.llm.common import Tables, arrow_batches, kept, slices, stored, texts_of
 
 #: Entries of the table that orders shingles, and of a chunk of it; its size does not depend on the input.
 BUCKETS, CHUNK = 1 << 24, 1 << 12
@@ -208,30 +208,17 @@ def _near(a: Column, b: Column, n_a: Column, n_b: Column, num: int, den: int) ->
     return F.coalesce(_apart(a, b) <= n_a + n_b - 2 * needed(n_a, n_b, num, den), F.lit(True))
 
 
-class _Tables:
-    """Stored intermediate tables of one run, and where they are."""
+def _tables(df: DataFrame) -> Tables:
+    return Tables(df.sparkSession, "jaccard")
 
-    def __init__(self, spark):
-        self.spark, self.paths = spark, []
 
-    def store(self, df: DataFrame, name: str) -> DataFrame:
-        df, path = stored(df, f"jaccard-{name}")
-        self.paths.append(path)
-        return df
-
-    def release(self) -> None:
-        for path in self.paths:
-            release(self.spark, path)
-        self.paths = []
-
-
-def verified(pairs: DataFrame, index: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets link, stored.  ``index``: node, n, odd; ``docs``: doc_id, text.
+def verified(pairs: DataFrame, index: DataFrame, docs: DataFrame, n: int, num: int, den: int, tables: Tables) -> DataFrame:
+    """The pairs (a, b) whose sets link, stored in ``tables``.  ``index``: node, n, odd; ``docs``: doc_id, text.
 
     Sets are made for documents of pairs that pass the filters, by one more
     scan of the texts: no text is shuffled.
     """
-    own = _Tables(pairs.sparkSession)
+    own = _tables(pairs)
     info = lambda side: index.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("odd").alias(f"odd_{side}"))
     known = pairs.join(info("a"), "a").join(info("b"), "b")
     known = known.where(_near(F.col("odd_a"), F.col("odd_b"), F.col("n_a"), F.col("n_b"), num, den))
@@ -242,18 +229,18 @@ def verified(pairs: DataFrame, index: DataFrame, docs: DataFrame, n: int, num: i
     both = known.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("s_a", "s_b")).cast("long")
     links = both.withColumn("common", common).where(F.col("common") * den >= (F.size("s_a") + F.size("s_b") - F.col("common")) * num)
-    links = stored(links.select("a", "b").distinct(), "jaccard-links")[0]
+    links = tables.store(links.select("a", "b").distinct(), "links")
     own.release()
     return links
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the least node that each node of ``edges`` (a, b) reaches.
+def components(edges: DataFrame, tables: Tables) -> DataFrame:
+    """(node, component): the least node that each node of ``edges`` (a, b) reaches, stored in ``tables``.
 
     Alternates two steps until nothing changes: every node ties its larger
     neighbours to the least node around it, then its smaller ones.
     """
-    before, now = _Tables(edges.sparkSession), _Tables(edges.sparkSession)
+    before, now = _tables(edges), _tables(edges)
     edges = before.store(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -270,6 +257,7 @@ def components(edges: DataFrame) -> DataFrame:
         before, now, edges = now, before, small
         if not changed:
             # every node now has one edge, to the least node of its component
+            tables.take(before)
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
@@ -281,27 +269,36 @@ class _Index:
     """The classes of equal sets, and the postings of prefix shingles that several classes share."""
 
     def __init__(self, df: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str):
-        self.n, self.num, self.den, self.tables = n, num, den, _Tables(df.sparkSession)
+        self.n, self.num, self.den, self.tables = n, num, den, _tables(df)
         arrow_batches(df.sparkSession)
         self.docs = texts_of(df, id_col, text_col)
-        store = self.tables.store
-        #: doc_id, n_shingles, set_id, prefix, odd of every row
-        self.profile = store(profiles(self.docs, shingle_levels(self.docs, n), n, num, den), "profiles")
-        usable = self.profile.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
+        store, own = self.tables.store, _tables(df)
+        # doc_id, n_shingles, set_id, prefix, odd, brief of every row
+        profile = own.store(profiles(self.docs, shingle_levels(self.docs, n), n, num, den), "profiles")
+        linkable = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+        usable = profile.where(linkable)
+        #: doc_id, n_shingles of the rows that link with nothing
+        self.alone = store(profile.where(~linkable).select("doc_id", "n_shingles"), "alone")
         classes = usable.groupBy("set_id").agg(F.min("doc_id").alias("node"))
         # an id with several texts may be the least of several classes
         variant = F.row_number().over(Window.partitionBy("node").orderBy("set_id"))
-        classes = store(classes.withColumn("variant", variant), "classes")
+        classes = own.store(classes.withColumn("variant", variant), "classes")
         #: doc_id, n_shingles and node, the least id of its class
         self.members = store(usable.select("doc_id", "n_shingles", "set_id").join(classes, "set_id").select("doc_id", "n_shingles", "node"), "members")
-        # one document stands for each class
+        # one document stands for each class; its prefix is needed for the postings only
         first = usable.join(classes.select(F.col("node").alias("doc_id"), "set_id", "variant"), ["doc_id", "set_id"])
-        first = store(first.select(F.col("doc_id").alias("node"), "variant", F.col("n_shingles").alias("n"), "odd", "brief", "prefix").dropDuplicates(["node", "variant"]), "index")
-        self.index = first.select("node", "variant", "n", "odd", "brief")
-        postings = first.select("node", "variant", F.posexplode("prefix").alias("pos", "token"), "n")
-        tokens = store(postings.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token"), "tokens")
-        #: token, node, variant, pos, n of prefix shingles in two classes or more
-        self.shared = store(postings.join(tokens, "token"), "postings")
+        first = first.select(F.col("doc_id").alias("node"), "variant", F.col("n_shingles").alias("n"), "odd", "brief", "prefix")
+        alike = ["node", "variant"]
+        self.index = store(first.drop("prefix").dropDuplicates(alike), "index")
+        listed = _tables(df)
+        prefixes = listed.store(first.drop("odd", "brief").dropDuplicates(alike), "prefixes")
+        own.release()
+        postings = prefixes.select("node", "variant", F.posexplode("prefix").alias("pos", "token"), "n")
+        tokens = listed.store(postings.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token"), "tokens")
+        #: token, node, variant, pos, n of prefix shingles in two classes or more; released when the pairs are known
+        self.listing = _tables(df)
+        self.shared = self.listing.store(postings.join(tokens, "token"), "postings")
+        listed.release()
 
     def same_id(self) -> DataFrame:
         """Links between classes that hold texts of one doc_id."""
@@ -309,9 +306,10 @@ class _Index:
         return self.members.join(several, "doc_id").where("a <> node").select("a", F.col("node").alias("b"))
 
     def stars(self) -> DataFrame:
-        """Pairs of a member and the hub that it shares most prefix shingles with."""
+        """Pairs of a member and the hub that it shares most prefix shingles with, stored."""
+        own = _tables(self.shared)
         member = F.struct("n", "node", "pos")
-        entries = self.tables.store(self.shared.groupBy("token").agg(F.min(member).alias("shortest"), F.max(member).alias("longest"), F.min(F.struct("pos", "n", "node")).alias("central")), "entries")
+        entries = own.store(self.shared.groupBy("token").agg(F.min(member).alias("shortest"), F.max(member).alias("longest"), F.min(F.struct("pos", "n", "node")).alias("central")), "entries")
         met = self.shared.join(entries, "token")
 
         def star(end: str) -> DataFrame:
@@ -321,11 +319,14 @@ class _Index:
 
         times = star("shortest").unionByName(star("longest")).unionByName(star("central")).groupBy("node", "hub").agg(F.count("*").alias("times"))
         best = times.groupBy("node").agg(F.max_by("hub", F.struct("times", -F.col("hub"))).alias("hub"))
-        return best.select(*_pair(F.col("node"), F.col("hub"))).distinct()
+        best = self.tables.store(best.select(*_pair(F.col("node"), F.col("hub"))).distinct(), "stars")
+        own.release()
+        return best
 
     def pairs(self, found: DataFrame | None = None) -> DataFrame:
         """Candidate pairs (a, b, apart), stored; with components ``found`` so far (node, component), only those between two of them."""
-        num, den, store = self.num, self.den, self.tables.store
+        own = _tables(self.shared)
+        num, den, store = self.num, self.den, own.store
         placed = self.shared
         if found is None:
             placed = placed.withColumn("component", F.col("node"))
@@ -356,17 +357,25 @@ class _Index:
         meets &= F.least(n_x - F.col("pos_x"), n_y - F.col("pos_y")) >= needed(n_x, n_y, num, den)
         meets = meets & _near(*brief, n_x, n_y, num, den) & ~F.arrays_overlap("earlier_x", "earlier_y")
         found = side(shorter, "x").join(side(longer, "y"), ["token", "band"]).where(meets).select(*_pair(F.col("node_x"), F.col("node_y")), _apart(*brief).alias("apart"))
-        return store(found.groupBy("a", "b").agg(F.min("apart").alias("apart")), "candidates")
+        found = self.tables.store(found.groupBy("a", "b").agg(F.min("apart").alias("apart")), "candidates")
+        own.release()
+        return found
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        return verified(pairs, self.index, self.docs, self.n, self.num, self.den)
+        return verified(pairs, self.index, self.docs, self.n, self.num, self.den, self.tables)
 
 
 def similar_groups(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles and component_id, the least doc_id reachable by links."""
+    return _groups(df, n, num, den, id_col, text_col)[0]
+
+
+def _groups(df: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, Tables]:
+    """The rows of ``similar_groups``, and the stored tables that they read."""
     index = _Index(df, n, num, den, id_col, text_col)
     links = index.verified(index.stars()).unionByName(index.same_id())
-    left = index.pairs(components(links))
+    left = index.pairs(components(links, index.tables))
+    index.listing.release()
     for k in range(ROUNDS):
         n_left = left.count()
         if not n_left:
@@ -375,17 +384,16 @@ def similar_groups(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_
         nearest = ends.groupBy("node").agg(F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("pair"))
         nearest = index.tables.store(nearest.select("pair.a", "pair.b").distinct(), "nearest")
         links = links.unionByName(index.verified(nearest))
-        found = components(links)
+        found = components(links, index.tables)
         of = lambda side, found=found: found.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
         left = left.join(nearest, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
         left = index.tables.store(left.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b", "apart"), "left")
         if n_left < FEW * nearest.count():
             break
     links = links.unionByName(index.verified(left.select("a", "b")))
-    labels = components(links)
+    labels = components(links, index.tables)
     linked = index.members.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
-    alone = index.profile.where(F.col("doc_id").isNull() | (F.col("n_shingles") == 0)).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone)
+    return linked.unionByName(index.alone.withColumn("component_id", F.col("doc_id"))), index.tables
 
 
 def linked_pairs(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -394,7 +402,9 @@ def linked_pairs(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     A class is named by its least id; documents of one class have equal sets.
     """
     index = _Index(df, n, num, den, id_col, text_col)
-    return index.members.select("doc_id", F.col("node").alias("class_id")).distinct(), index.verified(index.pairs().select("a", "b"))
+    pairs = index.pairs().select("a", "b")
+    index.listing.release()
+    return index.members.select("doc_id", F.col("node").alias("class_id")).distinct(), index.verified(pairs)
 
 
 def _marks(nodes: DataFrame) -> np.ndarray:
@@ -426,6 +436,7 @@ def _sets(docs: DataFrame, marks: np.ndarray, n: int) -> DataFrame:
 
 def one_of_each(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows whose document is the first of its group, with all their columns; null ids stay."""
-    groups = similar_groups(df, n, num, den, id_col, text_col)
+    groups, tables = _groups(df, n, num, den, id_col, text_col)
     gone, _ = stored(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "jaccard-gone")
+    tables.release()
     return df.join(gone, df[id_col] == gone["_gone"], "left_anti")

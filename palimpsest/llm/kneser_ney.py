@@ -43,7 +43,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import arrow_batches, filesystem, id_marks, kept, marked, release, slices, stored, workspace, written
+from palimpsest.llm.common import Tables, arrow_batches, filesystem, id_marks, kept, marked, release, slices, stored, workspace, written
 
 ORDER = 4
 #: Symbols without a character: the start of a text, and the first of those for other planes.
@@ -169,22 +169,25 @@ def _suffix(gram: Column, order: int) -> Column:
     return gram.bitwiseAND(F.lit((1 << 16 * (order - 1)) - 1))
 
 
-def fit(trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Tables (lang, order, gram, logp) and (lang, order, gram, logb): probabilities, and weights of backing off from a context; ``lang`` is the name of the model."""
-    counts = {ORDER: written(gram_counts(trusted), "kn-counts")}
+def fit(trusted: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """Tables (lang, order, gram, logp) and (lang, order, gram, logb): probabilities, and weights of backing off from a context; ``lang`` is the name of the model.
+
+    They read what is stored in ``tables``.
+    """
+    counts = {ORDER: tables.store(gram_counts(trusted), "counts")}
     for order in range(ORDER - 1, 0, -1):
         above = counts[order + 1]
         lower = above.groupBy("lang", _suffix(F.col("gram"), order + 1).alias("gram")).agg(F.count("*").alias("n"))
-        counts[order] = written(lower, f"kn-counts-{order}")
+        counts[order] = tables.store(lower, f"counts-{order}")
     probabilities, weights, below = [], [], None
     for order in range(1, ORDER + 1):
         table = counts[order]
         # one row for each language
-        cut = F.broadcast(written(_discounts(table), "kn-discounts"))
+        cut = F.broadcast(tables.store(_discounts(table), "discounts"))
         known = table.join(cut, "lang").withColumn("context", _context(F.col("gram")) if order > 1 else F.lit(0).cast("long"))
         discount = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         known = known.withColumn("cut", F.least(discount, F.col("n").cast("double")))
-        contexts = written(known.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("spare"), F.count("*").alias("types")), f"kn-contexts-{order}")
+        contexts = tables.store(known.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("spare"), F.count("*").alias("types")), f"contexts-{order}")
         joined = known.select("lang", "gram", "context", (F.col("n") - F.col("cut")).alias("rest")).join(contexts, ["lang", "context"])
         weight = F.col("spare") / F.col("total")
         if below is None:
@@ -192,7 +195,7 @@ def fit(trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
         else:
             joined = joined.withColumn("suffix", _suffix(F.col("gram"), order)).join(below, ["lang", "suffix"])
             p = F.col("rest") / F.col("total") + weight * F.col("p")
-        table = written(joined.select("lang", "gram", p.alias("p")), f"kn-probabilities-{order}")
+        table = tables.store(joined.select("lang", "gram", p.alias("p")), f"probabilities-{order}")
         below = table.select("lang", F.col("gram").alias("suffix"), "p")
         probabilities.append(table.select("lang", F.lit(order).alias("order"), "gram", F.log("p").cast("float").alias("value")))
         if order > 1:
@@ -229,8 +232,10 @@ class Model:
 def store(trusted: DataFrame) -> Model:
     """Fit and write the models of rows (lang, text, fold).  The names of the languages reach the driver."""
     spark = trusted.sparkSession
-    probabilities, weights = fit(trusted)
-    rows = written(probabilities.withColumn("kind", F.lit(0)).unionByName(weights.withColumn("kind", F.lit(1))), "kn-rows")
+    tables = Tables(spark, "kn")
+    probabilities, weights = fit(trusted, tables)
+    rows, rows_path = stored(probabilities.withColumn("kind", F.lit(0)).unionByName(weights.withColumn("kind", F.lit(1))), "kn-rows")
+    tables.release()
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = {lang: k for k, lang in enumerate(sorted(sizes))}
     shards = _odd_prime(-(-max(sizes.values(), default=0) // SHARD_ROWS) + 15)
@@ -240,6 +245,7 @@ def store(trusted: DataFrame) -> Model:
     # cells (kind, order) and grams rise in each shard
     placed = placed.withColumn("cell", (F.col("kind") * (ORDER + 1) + F.col("order")).cast("int")).select("language", "shard", "cell", "gram", "value")
     placed.repartition("language", "shard").sortWithinPartitions("language", "shard", "cell", "gram").write.partitionBy("language", "shard").parquet(path)
+    release(spark, rows_path)
     return Model(path, languages, shards, sum(sizes.values()))
 
 

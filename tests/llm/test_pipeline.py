@@ -1,9 +1,13 @@
 """The pipeline, stage by stage, against the operators and brute force."""
 
+import time
+from pathlib import Path
+
 import public_tokenizers
 
 import corpus_pipeline
-from palimpsest.llm import kneser_ney, packing, rules, tokens
+from palimpsest.llm import common, kneser_ney, packing, rules, tokens
+from palimpsest.shared import shared_dir
 
 from .test_queries import components, shingles
 
@@ -71,6 +75,36 @@ def test_packing_bounds_the_chunks_it_keeps(spark, monkeypatch):
     assert rows == pack(docs, path, end_id=2, capacity=4096, with_ids=True).collect()
 
 
+def test_stages_release_what_they_stored(spark, folder):
+    top = Path(shared_dir(spark).removeprefix("file://"), "palimpsest")
+    names = lambda: {p.name for p in top.iterdir()} if top.exists() else set()
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    before = names()
+    kept = corpus_pipeline.quality_classifier(spark, docs, folder)
+    assert {n.rsplit("-", 1)[0] for n in names() - before} == {"kn-model", "kn-held-out", "kn-centres", "kn-quantile", "kn-thresholds"}
+    before = names()
+    left = corpus_pipeline.near_duplicates(spark, docs, folder)
+    assert {n.rsplit("-", 1)[0] for n in names() - before} == {"jaccard-gone"}
+    assert kept.count() and left.count()
+
+
+def test_stored_rows_leave_no_shuffle_files(spark):
+    def shuffled() -> set[str]:
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for k in range(files.size()) if (name := files.apply(k).getName()).startswith("shuffle_") and name.endswith(".data")}
+
+    before = shuffled()
+    df = spark.range(1000).selectExpr("id % 7 as k").groupBy("k").count()
+    rows, _ = common.stored(df, "trial")
+    for _ in range(50):  # executors delete them a little later
+        if not (new := shuffled() - before):
+            break
+        time.sleep(0.1)
+    assert not new
+    assert sorted(r["count"] for r in rows.collect()) == sorted(r["count"] for r in df.collect())
+    assert spark.conf.get(common.CLEANUP, None) is None
+
+
 def test_empty_tables(spark, empty_folder):
     rows = corpus_pipeline.run(spark, empty_folder)
     assert rows.columns[:2] == ["doc_id", "start"] and not rows.collect()
